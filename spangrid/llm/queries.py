@@ -12,6 +12,7 @@ from .mixture import mixture
 from .neardup import near_duplicate_groups, similar_pairs
 from .overlap import overlapping_classes
 from .pieces import oversized_pieces
+from .prose import prose_in_code, train_identifier
 from .tokens import token_ids
 
 TRAIN = ("train", "style_train")
@@ -54,6 +55,16 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, sentences and share of prose of every file that has any."""
+    return prose_in_code(_files(spark, sf_dir), train_identifier(table(spark, sf_dir, "documents")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and the languages their comments and strings hold."""
+    return p3_prose(spark, sf_dir).select("file_id", "nl_lang")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that the splitting operator had to cut."""
     return oversized_pieces(_files(spark, sf_dir), table(spark, sf_dir, "size_limits")).select("file_id").distinct()
