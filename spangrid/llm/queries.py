@@ -13,6 +13,8 @@ from .neardup import near_duplicate_groups, similar_pairs
 from .overlap import overlapping_classes
 from .pieces import oversized_pieces
 from .prose import prose_in_code, train_identifier
+from .provenance import own_signals, provenance
+from .syntax import syntax_rates, syntax_verdicts
 from .tokens import token_ids
 
 TRAIN = ("train", "style_train")
@@ -55,6 +57,16 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that a tool wrote, that are minified or copied from another project, or that hold no program text."""
+    return own_signals(_files(spark, sf_dir)).select("file_id")
+
+
+def p2_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file with its signal and whether its fingerprints recur in many repositories."""
+    return provenance(_files(spark, sf_dir))
+
+
 def p3_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages, sentences and share of prose of every file that has any."""
     return prose_in_code(_files(spark, sf_dir), train_identifier(table(spark, sf_dir, "documents")))
@@ -75,6 +87,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized_pieces(_files(spark, sf_dir), table(spark, sf_dir, "size_limits"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a nonzero repair cost in the language of their extension."""
+    return syntax_verdicts(_files(spark, sf_dir)).where("not valid").select("file_id").distinct()
+
+
+def p5_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict, cause and repair cost of every file."""
+    v = syntax_verdicts(_files(spark, sf_dir))
+    return v.groupBy("file_id").agg(*(F.max(c).alias(c) for c in ("repository", "lang", "ext", "valid", "cause", "cost", "parses_as")))
+
+
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of files that do not parse, per repository and language."""
+    return syntax_rates(syntax_verdicts(_files(spark, sf_dir)))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of files of at least 200 words that share 0.7 of their five-word runs."""
     return similar_pairs(_files(spark, sf_dir), "file_id", 0.7, 200).select(F.col("a").alias("file_id_a"), F.col("b").alias("file_id_b"))
