@@ -7,8 +7,10 @@ at all, comes within a margin of it.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -137,22 +139,52 @@ class Identifier:
         return best
 
 
+def _units(lang: str, sentence: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", sentence) if lang not in ("zh", "ja") else [sentence[k : k + 2] for k in range(len(sentence) - 1)]
+
+
+def clean_labels(sentences: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Labelled sentences without those that the words of all sentences place in another language.
+
+    Labels hold for whole documents, which quote other languages, and some are wrong. Word counts per label (add-one
+    half, no prior) decide, so a small share of wrong labels is outvoted.
+    """
+    counts: dict[str, Counter] = {x: Counter() for x in LANGUAGES}
+    for lang, sentence in sentences:
+        counts[lang].update(_units(lang, sentence))
+    for lang in LANGUAGES:
+        for sentence in _SENTENCE.split(SEEDS[lang].lower()):
+            counts[lang].update(_units(lang, sentence) * 5)
+    kinds = len(set().union(*counts.values()))
+    base = {x: math.log(sum(c.values()) + kinds / 2) for x, c in counts.items()}
+    kept = []
+    for lang, sentence in sentences:
+        words = _units(lang, sentence)
+        rivals = [x for x in script_languages(sentence) if x in counts]
+        score = {x: sum(math.log(counts[x][w] + 0.5) for w in words) - len(words) * base[x] for x in rivals}
+        if lang in score and max(score, key=score.__getitem__) == lang:
+            kept.append((lang, sentence))
+    return kept
+
+
 def build_identifier(labelled: list[tuple[str, str]], code: list[str]) -> Identifier:
     """Dictionaries from labelled texts and code; the most telling bytes of a raw dictionary are its last."""
     texts: dict[str, list[str]] = {x: [] for x in LANGUAGES}
     size = dict.fromkeys(LANGUAGES, 0)
-    seen: set[str] = set()
+    sentences = []
     for lang, text in labelled:
         if lang not in texts:
             continue
         for sentence in _SENTENCE.split(_NOT_PROSE.sub(" ", text)):
             sentence = _DIGITS.sub("0", " ".join(sentence.split())).lower()
-            if len(sentence) < 12 or sentence in seen or lang not in script_languages(sentence):
-                continue
-            seen.add(sentence)
-            if size[lang] < DICTIONARY:
-                texts[lang].append(sentence)
-                size[lang] += len(sentence.encode())
+            if len(sentence) >= 12 and lang in script_languages(sentence):
+                sentences.append((lang, sentence))
+    seen: set[tuple[str, str]] = set()
+    for lang, sentence in clean_labels(sentences):
+        if (lang, sentence) not in seen and size[lang] < DICTIONARY:
+            seen.add((lang, sentence))
+            texts[lang].append(sentence)
+            size[lang] += len(sentence.encode())
     dictionaries = {}
     for lang in LANGUAGES:
         own = "\n".join([*texts[lang], SEEDS[lang].lower()])
