@@ -1 +1,24 @@
+"""Scalar functions of feature channels."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def flag(condition: Column) -> Column:
+    return condition.cast("int").cast("double")
+
+
+def bounded(value: Column, most: int) -> Column:
+    return F.least(value, F.lit(most)) / float(most)
+
+
+def logarithm(value: Column) -> Column:
+    """log2 of one more than a length of at most 1024, over ten."""
+    return F.log2(1 + F.least(value, F.lit(1024))) / 10
+
+
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole, 0 where the whole is 0."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
