@@ -22,3 +22,7 @@ def logarithm(value: Column) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole, 0 where the whole is 0."""
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
+def markdown_escape(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")

@@ -15,47 +15,84 @@ BINDING = ("const", "let", "var", "val", "final", "def", "fn", "function", "clas
 NEUTRAL = ("import", "using", "package", "namespace")
 
 
-def role(value: Column) -> Column:
-    """One of ROLES for a trimmed line."""
-    all_tokens = F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0))
-    at = F.when(F.get(all_tokens, F.lit(0)) == "@", 1).otherwise(0)
-    first = F.get(all_tokens, at)
-    # the character right after a token shows whether `=` is part of a longer operator
-    after = F.slice(all_tokens, at + 2, F.greatest(F.size(all_tokens) - at - 1, F.lit(0)))
-    follows = F.transform(after, lambda t, i: F.struct(t.alias("t"), F.coalesce(F.get(after, i + 1), F.lit("")).alias("n")))
-    items = F.filter(follows, lambda x: ~x["t"].rlike(r"^[ \t\x0B\f]+$"))
-    start = F.struct(F.lit("").alias("role"), F.lit(1).alias("words"), F.lit(0).alias("depth"), F.lit(False).alias("member"), F.lit(False).alias("subscript"), first.alias("previous"))
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, as a lambda's variable; Spark computes a repeated expression anew."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, x: Column) -> Column:
-        t = x["t"]
-        is_word = t.rlike(r"^[0-9A-Za-z_\x{80}-\x{10FFFF}]+$") & ~t.rlike("^[0-9]+$")
-        depth = s["depth"] + F.when(t == "<", 1).otherwise(0)
-        depth = depth - F.when((t == ">") & (depth > 0), 1).otherwise(0)
-        flat = depth == 0
-        words = s["words"] + F.when(flat & is_word, 1).otherwise(0)
-        member = F.when(flat & (t == "."), True).when(flat & is_word & (s["previous"] != "."), False).otherwise(s["member"])
-        at_equals = (
-            F.when(x["n"].isin("=", ">"), "other")
-            .when(s["previous"].isin("=", "!", "<", ">"), "other")
-            .when(s["previous"] == ":", "binding")
-            .when((s["words"] >= 2) & ~s["member"] & ~s["subscript"], "binding")
-            .otherwise("assignment")
-        )
-        decided = F.when(s["role"] != "", s["role"]).when(t == "=", at_equals).when(flat & (t == "("), "call").otherwise("")
-        return F.struct(decided.alias("role"), words.alias("words"), depth.alias("depth"), member.alias("member"), (s["subscript"] | (flat & (t == "["))).alias("subscript"), t.alias("previous"))
+
+_WORDS = r"^[0-9A-Za-z_\x{80}-\x{10FFFF}]+$"
+
+
+def _step(s: Column, x: Column) -> Column:
+    t = x["t"]
+    is_word = x["w"]
+    depth = s["depth"] + F.when(t == "<", 1).otherwise(0) - F.when((t == ">") & (s["depth"] > 0), 1).otherwise(0)
+    flat = depth == 0
+    member = F.when(flat & (t == "."), True).when(flat & is_word & (s["previous"] != "."), False).otherwise(s["member"])
+    at_equals = (
+        F.when(x["n"].isin("=", ">") | s["previous"].isin("=", "!", "<", ">"), "other")
+        .when((s["previous"] == ":") | ((s["words"] >= 2) & ~s["member"] & ~s["subscript"]), "binding")
+        .otherwise("assignment")
+    )
+    decided = F.when(s["role"] != "", s["role"]).when(t == "=", at_equals).when(flat & (t == "("), "call").otherwise("")
+    return F.struct(
+        decided.alias("role"),
+        (s["words"] + F.when(flat & is_word, 1).otherwise(0)).alias("words"),
+        depth.alias("depth"),
+        member.alias("member"),
+        (s["subscript"] | (flat & (t == "["))).alias("subscript"),
+        t.alias("previous"),
+    )
+
+
+def _scan(value: Column, first: Column, rest: Column) -> Column:
+    """What the operators after the first token decide: a fold with a small state."""
+    pairs = F.zip_with(rest, F.slice(rest, 2, F.greatest(F.size(rest) - 1, F.lit(0))), lambda t, n: F.struct(t.alias("t"), F.coalesce(n, F.lit("")).alias("n"), (t.rlike(_WORDS) & ~t.rlike("^[0-9]+$")).alias("w")))
+    items = F.filter(pairs, lambda x: ~x["t"].rlike(r"^[ \t\x0B\f]+$"))
+    start = F.struct(F.lit("").alias("role"), F.lit(1).alias("words"), F.lit(0).alias("depth"), F.lit(False).alias("member"), F.lit(False).alias("subscript"), first.alias("previous"))
 
     def tail(s: Column) -> Column:
         bare = (s["words"] >= 2) & ~s["member"] & ~s["subscript"] & value.endswith(";")
         return F.when(s["role"] != "", s["role"]).when(bare, "binding").when(s["member"], "call").otherwise("other")
 
-    return (
-        F.when(first.isNull(), "other")
-        .when(first.isin("}", ")", "]") | value.isin("end", "end;"), "closing")
-        .when(first == "{", "opening")
-        .when(~first.rlike(r"^[0-9A-Za-z_\x{80}-\x{10FFFF}]+$") | first.rlike("^[0-9]+$"), "other")
-        .when(first.isin(*EXIT), "exit")
-        .when(first.isin(*CONTROL), "control")
-        .when(first.isin(*BINDING), "binding")
-        .when(first.isin(*NEUTRAL), "other")
-        .otherwise(F.aggregate(items, start, step, tail))
-    )
+    return F.aggregate(items, start, _step, tail)
+
+
+def role(value: Column) -> Column:
+    """One of ROLES for a trimmed line."""
+
+    def by_tokens(tokens: Column) -> Column:
+        at = F.when(F.get(tokens, F.lit(0)) == "@", 1).otherwise(0)
+        first = F.get(tokens, at)
+        rest = F.slice(tokens, at + 2, F.greatest(F.size(tokens) - at - 1, F.lit(0)))
+        return (
+            F.when(first.isNull(), "other")
+            .when(first.isin("}", ")", "]") | value.isin("end", "end;"), "closing")
+            .when(first == "{", "opening")
+            .when(~first.rlike(_WORDS) | first.rlike("^[0-9]+$"), "other")
+            .when(first.isin(*EXIT), "exit")
+            .when(first.isin(*CONTROL), "control")
+            .when(first.isin(*BINDING), "binding")
+            .when(first.isin(*NEUTRAL), "other")
+            .otherwise(_let(rest, lambda r: _scan(value, first, r)))
+        )
+
+    return _let(F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0)), by_tokens)
+
+
+def role_batches(value: Column) -> Column:
+    """role() in Arrow batches with a memory of lines seen; on whole files this beats the fold, which Spark interprets
+    step by step."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    from . import units
+
+    def run(values: pd.Series) -> pd.Series:
+        known: dict[str, str] = {}
+        for v in values.unique():
+            known[v] = units.role(v.encode("utf-8", "surrogatepass").decode("latin-1"))
+        return values.map(known)
+
+    run.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return pandas_udf(run, "string")(value)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ratio
 from ..operators import metrics
 from ..session import table
+from ..sources.files import CODE_EXTENSIONS, EXCLUDED_DIRS
 from .registry import query
 
 # Languages in the order of their numbers.
@@ -34,9 +35,6 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources and paths
 
-_CODE = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .py .pyi .java .rs .zig .go .c .h .cc .cpp .cxx .hpp .hxx .cs .rb .php .kt .kts .swift .m .mm .scala .sc .dart .lua .ml .mli .ex .exs .erl .hrl .hs .sh .bash .zsh .fish .pl .pm .r .R .sql .vue .svelte .html .css .scss .less".split()
-CODE_EXTENSIONS = tuple(_CODE)
-EXCLUDED_DIRS = ("node_modules", "vendor", "dist", "build", "target", "zig-out", "__pycache__")
 EXCLUDED_PARTS = ("test", "tests", "testing", "__tests__", "fixtures", "snapshots", "generated", "vendor", "third_party", "node_modules")
 EXCLUDED_MARKS = (".test.", ".spec.", "_test.", "_tests.", "_fuzz.", "testutil.", "/fuzz.", ".generated.", ".min.")
 # The extension of each language, in the order of LANGUAGES.

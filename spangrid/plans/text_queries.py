@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -275,7 +277,7 @@ def rol02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rol01_roles")
 def rol01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role of every nonblank line; rol03 to rol05 are steps of the same fold."""
-    return layout.nonblank(docs(spark, sf_dir)).select("doc_id", "nb_pos", roles.role(F.col("value")).alias("role"))
+    return layout.nonblank(docs(spark, sf_dir)).select("doc_id", "nb_pos", roles.role_batches(F.col("value")).alias("role"))
 
 
 @query("rol05_role_counts")
@@ -290,29 +292,29 @@ def _clamp(sql: str) -> str:
     return f"greatest(-1.0, least(1.0, {sql}))"
 
 
-CHANNELS: dict[str, dict[str, tuple[Column, str]]] = {
-    "fea01_constant": {"c0": (F.lit(1.0), "1.0")},
-    "fea02_indents": {"c1": (bounded(F.col("li"), 32), "least(li, 32) / 32.0"), "c2": (bounded(F.col("ri"), 32), "least(ri, 32) / 32.0")},
-    "fea03_indent_change": {"c3": (F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("ri") - F.col("li")) / 16.0)), _clamp("(ri - li) / 16.0")), "c4": (flag(F.col("li") == F.col("ri")), "CAST(li = ri AS INT)")},
-    "fea05_lengths": {"c8": (logarithm(F.octet_length("lv")), "log2(1 + least(strlen(lv), 1024)) / 10"), "c9": (logarithm(F.octet_length("rv")), "log2(1 + least(strlen(rv), 1024)) / 10")},
-    "fea06_closing_start": {"c10": (flag(F.substring("lv", 1, 1).isin("}", ")", "]")), "CAST(substr(lv, 1, 1) IN ('}', ')', ']') AS INT)"), "c11": (flag(F.substring("rv", 1, 1).isin("}", ")", "]")), "CAST(substr(rv, 1, 1) IN ('}', ')', ']') AS INT)")},
-    "fea07_opens_block": {"c12": (flag(F.col("lv").endswith("{") | F.col("lv").endswith(":")), "CAST(suffix(lv, '{') OR suffix(lv, ':') AS INT)"), "c13": (flag(F.col("rv").endswith("{") | F.col("rv").endswith(":")), "CAST(suffix(rv, '{') OR suffix(rv, ':') AS INT)")},
-    "fea08_semicolons": {"c14": (flag(F.col("lv").endswith(";")), "CAST(suffix(lv, ';') AS INT)"), "c15": (flag(F.col("rv").endswith(";")), "CAST(suffix(rv, ';') AS INT)")},
-    "fea10_same_first_word": {"c18": (flag(lexing.first_word(F.col("lv")) == lexing.first_word(F.col("rv"))), f"CAST({FIRST_WORD.format(v='lv')} = {FIRST_WORD.format(v='rv')} AS INT)")},
-    "fea11_contains": {f"c{n}": (flag(F.col(c).contains(s)), f"CAST(contains({c}, '{s}') AS INT)") for n, c, s in ((19, "lv", "("), (20, "rv", "("), (21, "lv", "="), (22, "rv", "="), (28, "lv", ":"), (29, "rv", ":"))},
-    "fea12_line_ends": {f"c{n}": (flag(F.col(c).endswith(s)), f"CAST(suffix({c}, '{s}') AS INT)") for n, c, s in ((23, "lv", ","), (24, "rv", ","), (30, "lv", "}"), (31, "rv", "}"))},
-    "fea13_top_level": {"c25": (flag(F.col("li") == 0), "CAST(li = 0 AS INT)"), "c26": (flag(F.col("ri") == 0), "CAST(ri = 0 AS INT)")},
-    "fea14_annotation": {"c27": (flag((F.col("rv").startswith("@") & ~F.col("rv").endswith(";")) | F.col("rv").startswith("#[")), "CAST((prefix(rv, '@') AND NOT suffix(rv, ';')) OR prefix(rv, '#[') AS INT)")},
-    "fea24_unused": {f"c{n}": (F.lit(0.0), "0.0") for n in range(187, 192)},
+CHANNELS: dict[str, dict[str, tuple[Callable[[], Column], str]]] = {
+    "fea01_constant": {"c0": (lambda: F.lit(1.0), "1.0")},
+    "fea02_indents": {"c1": (lambda: bounded(F.col("li"), 32), "least(li, 32) / 32.0"), "c2": (lambda: bounded(F.col("ri"), 32), "least(ri, 32) / 32.0")},
+    "fea03_indent_change": {"c3": (lambda: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("ri") - F.col("li")) / 16.0)), _clamp("(ri - li) / 16.0")), "c4": (lambda: flag(F.col("li") == F.col("ri")), "CAST(li = ri AS INT)")},
+    "fea05_lengths": {"c8": (lambda: logarithm(F.octet_length("lv")), "log2(1 + least(strlen(lv), 1024)) / 10"), "c9": (lambda: logarithm(F.octet_length("rv")), "log2(1 + least(strlen(rv), 1024)) / 10")},
+    "fea06_closing_start": {"c10": (lambda: flag(F.substring("lv", 1, 1).isin("}", ")", "]")), "CAST(substr(lv, 1, 1) IN ('}', ')', ']') AS INT)"), "c11": (lambda: flag(F.substring("rv", 1, 1).isin("}", ")", "]")), "CAST(substr(rv, 1, 1) IN ('}', ')', ']') AS INT)")},
+    "fea07_opens_block": {"c12": (lambda: flag(F.col("lv").endswith("{") | F.col("lv").endswith(":")), "CAST(suffix(lv, '{') OR suffix(lv, ':') AS INT)"), "c13": (lambda: flag(F.col("rv").endswith("{") | F.col("rv").endswith(":")), "CAST(suffix(rv, '{') OR suffix(rv, ':') AS INT)")},
+    "fea08_semicolons": {"c14": (lambda: flag(F.col("lv").endswith(";")), "CAST(suffix(lv, ';') AS INT)"), "c15": (lambda: flag(F.col("rv").endswith(";")), "CAST(suffix(rv, ';') AS INT)")},
+    "fea10_same_first_word": {"c18": (lambda: flag(lexing.first_word(F.col("lv")) == lexing.first_word(F.col("rv"))), f"CAST({FIRST_WORD.format(v='lv')} = {FIRST_WORD.format(v='rv')} AS INT)")},
+    "fea11_contains": {f"c{n}": (lambda c=c, s=s: flag(F.col(c).contains(s)), f"CAST(contains({c}, '{s}') AS INT)") for n, c, s in ((19, "lv", "("), (20, "rv", "("), (21, "lv", "="), (22, "rv", "="), (28, "lv", ":"), (29, "rv", ":"))},
+    "fea12_line_ends": {f"c{n}": (lambda c=c, s=s: flag(F.col(c).endswith(s)), f"CAST(suffix({c}, '{s}') AS INT)") for n, c, s in ((23, "lv", ","), (24, "rv", ","), (30, "lv", "}"), (31, "rv", "}"))},
+    "fea13_top_level": {"c25": (lambda: flag(F.col("li") == 0), "CAST(li = 0 AS INT)"), "c26": (lambda: flag(F.col("ri") == 0), "CAST(ri = 0 AS INT)")},
+    "fea14_annotation": {"c27": (lambda: flag((F.col("rv").startswith("@") & ~F.col("rv").endswith(";")) | F.col("rv").startswith("#[")), "CAST((prefix(rv, '@') AND NOT suffix(rv, ';')) OR prefix(rv, '#[') AS INT)")},
+    "fea24_unused": {f"c{n}": (lambda: F.lit(0.0), "0.0") for n in range(187, 192)},
 }
 
 
-def _channel_query(name: str, channels: dict[str, tuple[Column, str]]) -> None:
+def _channel_query(name: str, channels: dict[str, tuple[Callable[[], Column], str]]) -> None:
     sql = ", ".join(f"round(CAST({s} AS DOUBLE), 6) AS {c}" for c, (_, s) in channels.items())
 
     @query(name, f"WITH {BOUNDS} SELECT doc_id, boundary_id, {sql} FROM bounds")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return bounds(spark, sf_dir).select("doc_id", "boundary_id", *(F.round(e.cast("double"), 6).alias(c) for c, (e, _) in channels.items()))
+        return bounds(spark, sf_dir).select("doc_id", "boundary_id", *(F.round(e().cast("double"), 6).alias(c) for c, (e, _) in channels.items()))
 
 
 for _name, _channels in CHANNELS.items():

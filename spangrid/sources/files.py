@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .globs import glob_regex
 
 LIMIT = 4 << 20
-SKIPPED = frozenset("node_modules vendor dist build target zig-out __pycache__".split())
+# Extensions of source files, and directories that are not entered.
+_CODE = ".ts .tsx .mts .cts .js .jsx .mjs .cjs .py .pyi .java .rs .zig .go .c .h .cc .cpp .cxx .hpp .hxx .cs .rb .php .kt .kts .swift .m .mm .scala .sc .dart .lua .ml .mli .ex .exs .erl .hrl .hs .sh .bash .zsh .fish .pl .pm .r .R .sql .vue .svelte .html .css .scss .less"
+CODE_EXTENSIONS = tuple(_CODE.split())
+EXCLUDED_DIRS = ("node_modules", "vendor", "dist", "build", "target", "zig-out", "__pycache__")
 
 
 def walk(folder: str, recursive: bool) -> Iterator[str]:
     """Paths below a folder in byte order, without hidden and tool folders."""
     for base, folders, names in os.walk(folder):
-        folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in SKIPPED) if recursive else []
+        folders[:] = sorted(d for d in folders if not d.startswith(".") and d not in EXCLUDED_DIRS) if recursive else []
         for name in sorted(names):
             yield os.path.join(base, name)
 
@@ -51,8 +54,6 @@ def read_paths(spark: SparkSession, paths: list[str], limit: int = LIMIT, conten
 
 
 def read_directory(spark: SparkSession, folder: str, recursive: bool = True, code_only: bool = True, contents: bool = True) -> DataFrame:
-    from ..plans.table_queries import CODE_EXTENSIONS
-
     paths = [p for p in walk(folder, recursive) if not code_only or os.path.splitext(p)[1] in CODE_EXTENSIONS]
     return read_paths(spark, paths, contents=contents)
 

@@ -11,7 +11,8 @@ LINES = [
 
 
 def test_roles_agree_with_the_single_line_form(spark):
-    rows = spark.createDataFrame([(x,) for x in LINES], "v string").select("v", roles.role(F.col("v")).alias("r")).collect()
+    rows = spark.createDataFrame([(x,) for x in LINES], "v string").select("v", roles.role(F.col("v")).alias("r"), roles.role_batches(F.col("v")).alias("b")).collect()
+    assert all(r.r == r.b for r in rows)
     assert {r.v: r.r for r in rows} == {x: units.role(x.encode().decode("latin-1")) for x in LINES}
     assert units.role("Foo bar = baz;") == "binding" and units.role("a.b = c") == "assignment" and units.role("f(x)") == "call"
 
