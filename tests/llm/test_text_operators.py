@@ -243,6 +243,15 @@ def test_markers_in_literals_and_comments_are_fine():
     assert syntax.judge("py", "# <<<<<<< HEAD\nx = '''\n=======\n'''\n").valid
 
 
+def test_very_long_parts():
+    terms = " + ".join(f"f{k}(x, {k}).y" for k in range(3000))
+    assert syntax.judge("js", f"var a = {terms};\n").valid and not syntax.judge("js", f"var a = {terms} +;\n").valid
+    names = ",".join(f"a{k}={k}" for k in range(4000))
+    assert syntax.judge("js", f"var {names};").valid and not syntax.judge("js", f"var {names},;").valid
+    assert syntax.judge("py", "x = [" + ", ".join(map(str, range(20000))) + "]\n").valid
+    assert syntax.judge("java", "class A { static final String D = \"" + "A" * 300_000 + "\"; }\n").valid
+
+
 def test_other_languages_are_named():
     assert syntax.judge("ts", GOOD["js"]).valid and not syntax.judge("js", GOOD["ts"]).valid
     v = syntax.judge("java", GOOD["py"])
