@@ -14,7 +14,8 @@ _SINGLE = r"'(?:\\.|[^'\\\n])*'"
 _CHAR = r"'(?:\\[^\n']{1,10}|\\'|[^'\\\n])'"
 _TRIPLE = r'"""[\s\S]*?"""'
 _TICKS = r"`(?:\\[\s\S]|[^`\\])*`"
-_REGEX = r"(?<=[(=,:\[!&|?{};])\s*/(?![*/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
+# a regular expression literal stands where a value is expected, after at most one space
+_REGEX = r"(?:(?<=[(=,:\[!&|?{};])|(?<=[(=,:\[!&|?{};] ))/(?![*/\s])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _C = f"{_LINE}|{_BLOCK}"
 _HASH = r"(?P<lc>#[^\n]*)"
 
@@ -34,17 +35,25 @@ _PARTS = {
 _PARTS["ts"] = _PARTS["js"]
 
 
+#: Characters that a comment or string can begin with; a look at one spares the alternatives everywhere else.
+_BEGIN = {"js": "/\"'`", "ts": "/\"'`", "java": "/\"'", "cs": "/\"'@$", "cpp": "/\"'RuUL", "go": "/\"'`", "kt": "/\"'", "swift": "/\"#", "rs": "/\"'br", "zig": "/\"'\\\\", "py": "#\"'rRbBuUfF", "rb": "#\"'=<"}
+
+
+def _guarded(ext: str, parts: str) -> re.Pattern:
+    return re.compile(f"(?=[{_BEGIN.get(ext, _BEGIN['js'])}])(?:{parts})", re.M)
+
+
 @lru_cache(None)
 def span_pattern(ext: str) -> re.Pattern:
     """Groups lc (line comment), bc (block comment), s (string)."""
-    return re.compile(_PARTS.get(ext, _PARTS["js"]), re.M)
+    return _guarded(ext, _PARTS.get(ext, _PARTS["js"]))
 
 
 @lru_cache(None)
 def _strip_pattern(ext: str) -> re.Pattern:
     """Comments and strings, the latter with one captured quote so that a template can keep it."""
     parts = _PARTS.get(ext, _PARTS["js"]).replace("(?P<lc>", "(?:").replace("(?P<bc>", "(?:")
-    return re.compile(parts, re.M)
+    return _guarded(ext, parts)
 
 
 def extension(path: str | None) -> str:
