@@ -44,6 +44,7 @@ def bag(value: str, size: int = 32) -> np.ndarray:
     return out / math.sqrt(max(len(tokens), 1))
 
 
+@lru_cache(1 << 16)
 def first_word(value: str) -> str:
     return next((t for t in _TOKEN.findall(value) if (t[0].isalnum() and t[0].isascii() or t[0] == "_" or t[0] >= "\x80") and not t.isdigit()), "")
 
