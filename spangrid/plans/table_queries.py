@@ -492,16 +492,17 @@ def srt07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("language_id", F.least("n", F.lit(30)).alias("cases"), (F.col("n") >= 30).alias("complete"))
 
 
-_EPOCHS = "SELECT language_id AS run, CAST(floor(epoch_ms(labeled_at) / 86400000) AS BIGINT) AS epoch, avg(confidence) AS score FROM b WHERE confidence IS NOT NULL AND labeled_at IS NOT NULL GROUP BY ALL"
+_EPOCHS = "SELECT language_id AS run, CAST(floor(epoch_ms(labeled_at) / 86400000) AS BIGINT) AS epoch, CAST(sum(CAST(round(confidence * 1000000) AS BIGINT)) AS DOUBLE) / count(*) AS score FROM b WHERE confidence IS NOT NULL AND labeled_at IS NOT NULL GROUP BY ALL"
 
 
-@query("win09_running_best", f"WITH {ROWS_SQL}, e AS (SELECT run, epoch, round(score, 4) AS score FROM ({_EPOCHS})) SELECT run, epoch, max(score) OVER (PARTITION BY run ORDER BY epoch) AS best FROM e")
+@query("win09_running_best", f"WITH {ROWS_SQL}, e AS ({_EPOCHS}) SELECT run, epoch, round(max(score) OVER (PARTITION BY run ORDER BY epoch), 3) AS best FROM e")
 def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best score so far of each run by day."""
+    """Best score so far of each run by day, in millionths, from whole numbers so that the order of rows plays no part."""
     day = F.floor(F.unix_millis(F.col("labeled_at").cast("timestamp")) / 86_400_000)
     b = rows(spark, sf_dir).where("confidence IS NOT NULL AND labeled_at IS NOT NULL")
-    e = b.groupBy(F.col("language_id").alias("run"), day.alias("epoch")).agg(F.round(F.avg("confidence"), 4).alias("score"))
-    return e.select("run", "epoch", F.max("score").over(Window.partitionBy("run").orderBy("epoch")).alias("best"))
+    score = F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")).cast("double") / F.count("*")
+    e = b.groupBy(F.col("language_id").alias("run"), day.alias("epoch")).agg(score.alias("score"))
+    return e.select("run", "epoch", F.round(F.max("score").over(Window.partitionBy("run").orderBy("epoch")), 3).alias("best"))
 
 
 @query("win10_move_rewrites", "SELECT file_id, path, lead(path) OVER (PARTITION BY repository ORDER BY path, file_id) AS next_path FROM (SELECT DISTINCT file_id, repository, path FROM source_files WHERE repository IS NOT NULL)")
