@@ -259,6 +259,31 @@ def test_other_languages_are_named():
     assert syntax.judge("py", "def f(a):\n\ndef g(b):\n    pass\n").valid is False
 
 
+def test_long_parts_are_parsed_like_short_ones():
+    for n in (10, 300):
+        calls = " + ".join(f"f{k}(x, {k}).y" for k in range(n))
+        assert syntax.judge("js", f"var a = {calls};\n").valid
+        assert not syntax.judge("js", f"var a = {calls} + f(x y).y;\n", False).valid
+        names = ", ".join(f"a{k}" for k in range(n))
+        assert syntax.judge("js", f"var {names};\n").valid
+        assert not syntax.judge("js", f"var {names}, 5, b;\n", False).valid
+
+
+def test_chart_against_all_strings_of_a_grammar():
+    from itertools import product
+
+    g = chart.Grammar("S = E\nS = L\nE = E + E\nE = E * E\nE = T\nL = T , L\nL = T ; M\nM = L\nM = T\nT = a\nT = - T\n")
+    good: dict[str, set[str]] = {name: set() for name in ("S", "E", "L", "M", "T")}
+    changed = True
+    while changed:  # all strings of up to seven tokens, by applying the rules until nothing is new
+        rules = {"T": {"a"} | {"-" + t for t in good["T"]}, "M": good["L"] | good["T"], "L": {t + "," + x for t in good["T"] for x in good["L"]} | {t + ";" + m for t in good["T"] for m in good["M"]}}
+        rules |= {"E": good["T"] | {a + op + b for a in good["E"] for b in good["E"] for op in "+*" if len(a + b) < 7}, "S": good["E"] | good["L"]}
+        new = {name: {s for s in found if len(s) <= 7} for name, found in rules.items()}
+        changed, good = new != good, new
+    for s in map("".join, (x for n in range(1, 8) for x in product("a+,;-", repeat=n))):
+        assert g.starts_of(s, lambda c: frozenset(c), good) == {name for name in good if s in good[name]}, s
+
+
 def test_least_repair_against_brute_force():
     g = chart.Grammar("S = a S b\nS = a b\n")
     terms = lambda c: frozenset({c})
