@@ -338,3 +338,18 @@ def test_lexers_blank_comments_and_strings():
     assert blanked("js", "a('x', /\"/g) // y\n").replace(" ", "") == 'a(",")\n'
     assert blanked("rs", "fn f<'a>(x: &'a str) { g('b') }").count('"') == 1
     assert extension("a/b.TS") == "ts" and extension("a.b/c") == "" and extension(None) == ""
+
+
+def test_notes_anywhere_in_a_file():
+    lines = "".join(f"import pkg{k}.part{k * 7};\n" for k in range(200)) + "\n"
+    body = "class A {\n" + "".join(f"    int f{k}(int a) {{ return a * {k} + g{k * 3}(a); }}\n\n" for k in range(30)) + "}\n"
+    assert provenance.note_signal("java", lines + body) == ""
+    for note, want in (("// @generated", "generated"), ("// Vendored from lib 1.2, unchanged", "vendored"), ("/* Changes to this file will be lost. */", "generated"), ("// mirrored from foo 1.2", "vendored"), ("// local patches are listed below", "vendored")):
+        assert provenance.note_signal("java", lines + note + "\n" + body) == want, note
+    for note in ("// the event is emitted by the parser", "// limits taken from RFC 7231", "// origin: the top left corner", "// unsaved changes will be lost", "// sizes extracted from the first 4 bytes"):
+        assert provenance.note_signal("java", lines + note + "\n" + body) == "", note
+    for note in ("DO NOT MODIFY THIS FILE BY HAND", "changes will be lost", "source of truth is schema.x"):
+        assert provenance.note_signal("java", f"// {note}\nclass A {{}}\n") == "generated", note
+    for note in ("mirrored from foo 1.2", "local patches are kept"):
+        assert provenance.note_signal("java", f"// {note}\nclass A {{}}\n") == "vendored", note
+    assert provenance.content_signal("js", "<!-- " + "word " * 200 + "-->\n<!-- b -->\n<div>\n</div>\n") == "page"
