@@ -1,12 +1,13 @@
 """Same or near-same records across splits.
 
-Both sides are fingerprinted by winnowing; shared fingerprints are seeds. A pair of records with enough seeds is
-aligned: its seeds are chained in order on both sides and extended word by word, which gives the coverage of the
+Runs of five words with an even hash are seeds, all runs where these are too few to tell. A pair of records with as many
+shared seeds as the threshold implies is aligned: its seeds are chained in order on both sides and extended word by word, which gives the coverage of the
 evaluation record; the share of its five-word runs that the training record holds decides.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -18,35 +19,53 @@ from pyspark.sql import functions as F
 from ..session import materialise, spread
 from .arrow import long_lists, slices
 from .copies import text_class, texts_of
-from .shingles import RUN, run_hashes, shared, winnow, word_hashes
+from .shingles import RUN, run_hashes, shared, word_hashes
 
-#: Any eight shared runs in a row leave a shared fingerprint.
+#: Any eight shared runs in a row leave a shared fingerprint of `shingles.winnow`; the seeds don't rest on it.
 WINDOW = 8
-#: A partner holds at least SEEDS of a record's fingerprints, less SLACK of them in short records; by simulation, records
-#: of 300 words that keep 0.7 of their runs under evenly spread, random or inserted edits keep 0.49 of them at the
-#: least, and records of 30 words two. The COMMON most frequent share of a record's fingerprints is left out of the
-#: seeds, and what a partner must hold of the rest is lowered by as many, so leaving them out loses no partner.
-SEEDS, COMMON, SLACK = 0.45, 0.2, 4
+#: Seeds that a partner must share of a record for half of the record's runs to do; of other records all runs are seeds.
+LEAST = 3
 
 
-def _fingerprints(min_words: int, window: int):
+def _wanted(distinct: int, threshold: float) -> int:
+    """The least whole number of shared runs that reaches the threshold."""
+    return max(1, math.ceil(threshold * distinct))
+
+
+def _seeds(min_words: int, threshold: float, rest: bool):
+    """Distinct runs by class and side, those with an even hash or, with `rest`, the others of the training side.
+
+    A partner shares `wanted` of a record's m runs, so it lacks m - wanted at most, and of any k of the runs it shares
+    k - (m - wanted) or more: `least`. Where the even runs leave fewer than LEAST, the record sends all its runs.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, bool]] = set()
         for batch in slices(batches):
-            classes, sides, prints = [], [], []
+            classes, sides, least, prints = [], [], [], []
             for cls, side, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if text is None or (cls, side) in done:
+                if text is None or (cls, side) in done or rest and side:
                     continue
                 words = word_hashes(text)
                 if side and len(words) < min_words:
                     continue
                 done.add((cls, side))
-                hashes = run_hashes(words)
-                if len(hashes):
-                    classes.append(cls)
-                    sides.append(side)
-                    prints.append(np.unique(hashes[winnow(hashes, window)]))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sides, pa.bool_()), long_lists(prints)], ["cls", "held_out", "prints"])
+                distinct = np.unique(run_hashes(words))
+                if not len(distinct):
+                    continue
+                odd = (distinct & np.uint64(1)).astype(bool)
+                sent = distinct[odd if rest else ~odd]
+                must = 0
+                if side:
+                    wanted = _wanted(len(distinct), threshold)
+                    must = len(sent) - (len(distinct) - wanted)
+                    if must < LEAST:
+                        sent, must = distinct, wanted
+                classes.append(cls)
+                sides.append(side)
+                least.append(must)
+                prints.append(sent)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sides, pa.bool_()), pa.array(least, pa.int32()), long_lists(prints)], ["cls", "held_out", "least", "prints"])
 
     return run
 
@@ -123,7 +142,7 @@ def _aligned(threshold: float):
     return run
 
 
-def overlapping_classes(train: DataFrame, held_out: DataFrame, threshold: float = 0.7, min_words: int = 30, window: int = WINDOW) -> DataFrame:
+def overlapping_classes(train: DataFrame, held_out: DataFrame, threshold: float = 0.7, min_words: int = 30) -> DataFrame:
     """(t, e, containment, coverage): text classes of the training and the evaluation side.
 
     Both inputs have one column `content`. containment is the share of the evaluation text's distinct five-word runs
@@ -132,20 +151,20 @@ def overlapping_classes(train: DataFrame, held_out: DataFrame, threshold: float
     """
     rows = train.select(F.lit(False).alias("held_out"), "content").unionAll(held_out.select(F.lit(True).alias("held_out"), "content"))
     source = spread(rows).select(text_class().alias("cls"), "held_out", "content")
-    prints = materialise(source.mapInArrow(_fingerprints(min_words, window), "cls long, held_out boolean, prints array<long>"))
-    seeds_e = prints.where("held_out").select(F.col("cls").alias("e"), F.explode("prints").alias("print")).distinct()
+    schema = "cls long, held_out boolean, least int, prints array<long>"
+    prints = materialise(source.mapInArrow(_seeds(min_words, threshold, False), schema))
+    seeds_e = prints.where("held_out").select(F.col("cls").alias("e"), "least", F.explode("prints").alias("print")).distinct()
+    even = F.col("print").bitwiseAND(1) == 0
     seeds_t = prints.where("not held_out").select(F.col("cls").alias("t"), F.explode("prints").alias("print"))
-    common = materialise(seeds_t.join(seeds_e.select("print").distinct(), "print", "left_semi").distinct())
+    rest_t = source.where("not held_out").mapInArrow(_seeds(min_words, threshold, True), schema).select(F.col("cls").alias("t"), F.explode("prints").alias("print"))
+    # odd runs are sent by few and short records only
+    hits = seeds_t.join(seeds_e.where(even).select("print").distinct(), "print", "left_semi").unionByName(rest_t.join(F.broadcast(seeds_e.where(~even).select("print").distinct()), "print", "left_semi"))
+    common = materialise(hits.distinct())
     often = common.groupBy("print").agg(F.count("*").alias("n"))
     by_rank = Window.partitionBy("e").orderBy(F.desc("n"), "print")
-    sizes = prints.where("held_out").select(F.col("cls").alias("e"), F.size("prints").alias("size")).distinct()
-    probes = (
-        seeds_e.join(often, "print")
-        .join(sizes, "e")
-        .withColumn("rank", F.row_number().over(by_rank))
-        .where(F.col("rank") > F.floor(F.col("size") * COMMON))
-        .select("e", "print", F.greatest(F.lit(1), F.floor(F.col("size") * SEEDS) - F.floor(F.col("size") * COMMON) - SLACK).alias("least"))
-    )
+    # half of what a partner must share may be left out, the commonest runs first, if it is taken off what it must share
+    left_out = F.floor(F.col("least") / 2)
+    probes = seeds_e.join(often, "print").withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") > left_out).select("e", "print", (F.col("least") - left_out).alias("least"))
     pairs = materialise(probes.join(common, "print").groupBy("t", "e").agg(F.count("*").alias("n"), F.first("least").alias("least")).where("n >= least").select("t", "e"))
     text_t = texts_of(train, pairs.select(F.col("t").alias("cls")).distinct()).withColumnsRenamed({"cls": "t", "text": "text_t"})
     text_e = texts_of(held_out, pairs.select(F.col("e").alias("cls")).distinct()).withColumnsRenamed({"cls": "e", "text": "text_e"})

@@ -179,3 +179,19 @@ def test_every_query_runs(name, spark, sf_dir):
         for t in ("source_files", "size_limits"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
         assert sorted(map(tuple, rows)) == sorted(con.execute(ORACLES[name]).fetchall())
+
+
+def test_overlap_of_short_records_with_common_runs(spark):
+    """Insertions that leave over 0.7 of the runs and two winnowed ones, which other training texts hold too."""
+    words = [f"w444339_{k}" for k in range(49)]
+    held = " ".join(words)
+    edited = list(words)
+    for at in (35, 24, 13):
+        edited.insert(at, "new")
+    near = " ".join(edited)
+    others = [" ".join([f"x{j}_{k}" for k in range(40)] + words[3:8] + [f"y{j}"] + words[38:43]) for j in range(6)]
+    a = shingles.run_set(held)
+    assert shingles.shared(a, shingles.run_set(near)) >= 0.7 * len(a)
+    assert len(set(shingles.fingerprints(held, overlap.WINDOW)) & set(shingles.fingerprints(near, overlap.WINDOW))) == 2
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "content string")
+    assert overlap.overlapping_classes(frame([near, *others]), frame([held])).count() == 1
