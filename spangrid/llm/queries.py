@@ -10,7 +10,7 @@ from .canonical import canonical_texts, form_report, look_alike_pairs
 from .copies import members
 from .mixture import mixture
 from .neardup import near_duplicate_groups, similar_pairs
-from .overlap import overlapping_classes
+from .overlap import overlapping_classes, united_coverage
 from .pieces import oversized_pieces
 from .prose import prose_in_code, train_identifier
 from .provenance import own_signals, provenance
@@ -45,16 +45,30 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(t, "t").join(e, "e").select("train_file_id", "eval_table", "eval_id").distinct()
 
 
-def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per evaluation split and training source: overlapping records, training files, and the coverage of the records."""
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every overlapping pair of an evaluation record and a training file, with the stretches of the record."""
     classes, train, records, _ = _overlap(spark, sf_dir)
-    t = train.where("content is not null").select(F.xxhash64("content").alias("t"), "file_id", "source_id").distinct()
+    t = train.where("content is not null").select(F.xxhash64("content").alias("t"), F.col("file_id").alias("train_file_id"), "source_id").distinct()
     e = records.select(F.xxhash64("content").alias("e"), "eval_table", "eval_id", "eval_split").distinct()
-    pairs = classes.join(t, "t").join(e, "e")
+    return classes.join(t, "t").join(e, "e")
+
+
+def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation record and training source: training files that overlap, the most of its runs that one of them
+    holds, and the share of its words that they cover together."""
+    pairs = materialise(_overlaps(spark, sf_dir))
+    by = ["eval_table", "eval_id", "eval_split", "source_id"]
+    files = pairs.groupBy(*by).agg(F.countDistinct("train_file_id").alias("train_files"), F.round(F.max("containment"), 6).alias("most_containment"))
+    # copies of one text cover the same stretches; a null source is a source
+    spans = pairs.select(*by, "t", "words", "spans").dropDuplicates([*by, "t"])
+    joined = [files[c].eqNullSafe(F.col(f"u.{c}")) for c in by]
+    return files.join(united_coverage(spans, by).alias("u"), joined).select(*(files[c] for c in (*by, "train_files", "most_containment")), F.round("u.coverage", 6).alias("coverage"))
+
+
+def p1_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per evaluation split and training source: overlapping records and training files."""
     record = F.struct("eval_table", "eval_id")
-    return pairs.groupBy("eval_table", "eval_split", "source_id").agg(
-        F.countDistinct(record).alias("records"), F.countDistinct("file_id").alias("train_files"), F.round(F.avg("coverage"), 6).alias("mean_coverage"), F.round(F.max("containment"), 6).alias("most_containment")
-    )
+    return _overlaps(spark, sf_dir).groupBy("eval_table", "eval_split", "source_id").agg(F.countDistinct(record).alias("records"), F.countDistinct("train_file_id").alias("train_files"), F.round(F.max("containment"), 6).alias("most_containment"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,28 @@ def test_overlap_of_short_records_with_common_runs(spark):
     others = [" ".join([f"x{j}_{k}" for k in range(40)] + words[3:8] + [f"y{j}"] + words[38:43]) for j in range(6)]
     a = shingles.run_set(held)
     assert shingles.shared(a, shingles.run_set(near)) >= 0.7 * len(a)
-    assert len(set(shingles.fingerprints(held, overlap.WINDOW)) & set(shingles.fingerprints(near, overlap.WINDOW))) == 2
+    assert len(set(shingles.fingerprints(held, 8)) & set(shingles.fingerprints(near, 8))) == 2
     frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "content string")
     assert overlap.overlapping_classes(frame([near, *others]), frame([held])).count() == 1
+
+
+def test_a_run_that_every_text_holds_and_any_cut(spark, monkeypatch):
+    """2,000 texts share a notice; only the edited copies of a record are its partners, whatever is left out of the join."""
+    notice = "this notice stands at the head of each and every file of the whole collection without any change"
+    train = [f"{notice} " + " ".join(f"t{k}_{n}" for n in range(30)) for k in range(2000)]
+    body = [f"e_{n}" for n in range(120)]
+    held = [f"{notice} " + " ".join(body), f"{notice} " + " ".join(f"z{n}" for n in range(30))]
+    train += [f"{notice} " + " ".join(body[:60] + ["edit"] + body[60:]), " ".join(body)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "content string")
+    ids = {r.content: r.h for r in frame(train + held).select("content", F.xxhash64("content").alias("h")).collect()}
+    want = {(ids[t], ids[held[0]]) for t in train[-2:]}
+    for cut in (0.31, 0.5, 1.0):
+        assert {(r.t, r.e) for r in overlap.overlapping_classes(frame(train), frame(held), cut=cut).collect()} == want
+    monkeypatch.setattr(overlap, "LATE", 0)
+    assert {(r.t, r.e) for r in overlap.overlapping_classes(frame(train), frame(held), cut=0.31).collect()} == want
+
+
+def test_coverage_is_united_over_training_texts(spark):
+    rows = [("a", 10, [(0, 4)]), ("a", 10, [(2, 6), (8, 9)]), ("a", 10, [(0, 3)]), ("b", 4, [(0, 4)]), (None, 2, [(1, 2)])]
+    spans = spark.createDataFrame(rows, "k string, words int, spans array<struct<at:int,upto:int>>")
+    assert {r.k: r.coverage for r in overlap.united_coverage(spans, ["k"]).collect()} == {"a": 0.7, "b": 1.0, None: 0.5}

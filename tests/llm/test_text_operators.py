@@ -1,9 +1,11 @@
 """Parts of the training-data operators that need no Spark, against brute force and round trips."""
 
+import math
 import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,12 +34,15 @@ def test_winnowing_selects_a_minimum_of_every_window(values, window):
     assert got == want
 
 
+WINDOW = 8
+
+
 def test_shared_runs_leave_a_shared_fingerprint():
     rng = random.Random(1)
     for _ in range(50):
-        common = [f"w{rng.random()}" for _ in range(overlap.WINDOW + shingles.RUN - 1)]
+        common = [f"w{rng.random()}" for _ in range(WINDOW + shingles.RUN - 1)]
         a, b = (" ".join([f"x{rng.random()}" for _ in range(40)] + common + [f"y{rng.random()}" for _ in range(40)]) for _ in range(2))
-        assert shingles.shared(shingles.fingerprints(a, overlap.WINDOW), shingles.fingerprints(b, overlap.WINDOW))
+        assert shingles.shared(shingles.fingerprints(a, WINDOW), shingles.fingerprints(b, WINDOW))
 
 
 def test_superminhash_estimates_jaccard():
@@ -63,6 +68,25 @@ def test_chain_and_coverage():
     assert overlap.chain(np.array([1, 2, 3], np.uint64), np.array([3, 2, 1], np.uint64)) and overlap.chain(a[:0], b) == []
 
 
+def test_no_partner_lacks_the_minima_asked_for():
+    """Whatever three tenths of a record's runs a partner lacks, it shares `least` of what the record sends."""
+    rng = random.Random(5)
+    for m in (26, 27, 40, 90, 300):
+        text = " ".join(f"w{m}_{k}" for k in range(m + shingles.RUN - 1))
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["e", "content"])
+        out = next(overlap._record_minima(30, 0.7, overlap.CUT)(iter([batch])))
+        sent, least = set(out["prints"][0].as_py()) | set(out["more"][0].as_py()), out["least"][0].as_py()
+        runs = np.unique(shingles.run_hashes(shingles.word_hashes(text)))
+        for _ in range(30):
+            kept = rng.sample(list(range(m)), math.ceil(0.7 * m - 1e-9))
+            low, high = overlap._minima(runs[sorted(kept)], overlap.CUT)
+            assert len(sent & set(np.concatenate([low, high]).astype(np.int64).tolist())) >= least
+        hot = np.array(sorted(sent, reverse=True)[: m // 2], dtype=np.int64)
+        probed = next(overlap._probes(hot)(iter([out])))
+        left, asked = set(probed["prints"][0].as_py()), probed["least"][0].as_py()
+        assert len(sent) - len(left) == least - asked and asked >= min(least, overlap.NEEDED)
+
+
 # --- tokens
 
 
