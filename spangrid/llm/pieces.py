@@ -28,31 +28,49 @@ _SCOPE_END = re.compile(rb"\s*(?:\}[;,)]*|end)\s*")
 _STATEMENT_END = re.compile(rb".*[;})\]]\s*|\s*")
 
 
-def boundaries(data: bytes, limit: int) -> tuple[np.ndarray, np.ndarray]:
+#: In a long line: strings, which hold no boundary, and the ends of blocks and statements.
+_INNER = re.compile(rb"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`|(?P<block>\}[;,)]*)|(?P<statement>;)")
+
+
+def _inside(data: bytes, first: int, end: int, reach: int) -> list[tuple[int, int]]:
+    """Places inside a long line: after blocks and statements, and where those are further apart than `reach`, after
+    white space and at any character."""
+    natural = [(m.end(), KINDS.index(m.lastgroup)) for m in _INNER.finditer(data, first, end) if m.lastgroup and m.end() < end]
+    out, last, step = [], first, max(1, reach // 8)
+    for stop, kind in [*natural, (end, -1)]:
+        if stop - last > reach:
+            for a in range(last + step, stop, step):
+                # an UTF-8 continuation byte can't begin a piece
+                while a < stop and data[a] & 0xC0 == 0x80:
+                    a += 1
+                space = max(data.rfind(b" ", a - step, a), data.rfind(b",", a - step, a)) + 1
+                if space > last and (not out or space > out[-1][0]):
+                    out.append((space, KINDS.index("space")))
+                if a < stop and (not out or a > out[-1][0]):
+                    out.append((a, KINDS.index("character")))
+        if kind >= 0:
+            out.append((stop, kind))
+        last = stop
+    return out
+
+
+def boundaries(data: bytes, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a piece may end, ascending, and the kind of each; the end of the data is the last.
 
-    Line ends are natural. Where two are further apart than a quarter of the limit, places after white space and then
-    any character boundary come in, so a cut always exists.
+    Line ends are natural, and so are the ends of blocks and statements within a line longer than `reach`. Where those
+    are further apart than `reach` still, places after white space and any character boundary come in, so a cut always
+    exists.
     """
     at, kind, last = [], [], 0
     ends = [m.end() for m in _LINE_END.finditer(data)]
     if not ends or ends[-1] != len(data):
         ends.append(len(data))
-    step = max(1, limit // 64)
     for n, end in enumerate(ends):
         line = data[last:end]
-        if end - last > max(4, limit // 4):
-            for a in range(last + step, end, step):
-                # an UTF-8 continuation byte can't begin a piece
-                while a < end and data[a] & 0xC0 == 0x80:
-                    a += 1
-                space = max(data.rfind(b" ", a - step, a), data.rfind(b",", a - step, a), data.rfind(b";", a - step, a)) + 1
-                if space > last and (not at or space > at[-1]):
-                    at.append(space)
-                    kind.append(KINDS.index("space"))
-                if a < end and (not at or a > at[-1]):
-                    at.append(a)
-                    kind.append(KINDS.index("character"))
+        if end - last > reach:
+            inner = _inside(data, last, end, reach)
+            at += [a for a, _ in inner]
+            kind += [k for _, k in inner]
         following = data[end : ends[n + 1]] if n + 1 < len(ends) else b""
         blank_next = not following.strip()
         if _SCOPE_END.fullmatch(line):
@@ -81,14 +99,16 @@ def split(data: bytes, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, kind of the place where it ends) of each piece; one piece where the data fits.
 
     Each piece starts `overlap` bytes before the end of the one before it, or up to three bytes earlier where that
-    would break a character. An overlap of half the limit or more is cut down to just under half of it, and the limit
-    is at least eight bytes, so that every piece adds something.
+    would break a character. Every piece must be able to add a character, so a limit of less than four bytes, or of less
+    than seven over the overlap, is an error.
     """
-    limit = max(limit, 8)
-    overlap = max(0, min(overlap, (limit - 1) // 2 - 3))
+    overlap = max(0, overlap)
+    if limit < (overlap + 7 if overlap else 4):
+        raise ValueError(f"pieces of {limit} bytes cannot overlap by {overlap} and go on")
     if len(data) <= limit:
         return [(0, len(data), "end")]
-    at, kind = boundaries(data, limit)
+    # two places next to each other must fit into a piece beside the overlap
+    at, kind = boundaries(data, max(1, min(limit // 4, (limit - overlap - 6) // 2)))
     starts = np.array([0] + [_back(data, max(0, int(p) - overlap)) for p in at], dtype=np.int64)
     ends = np.concatenate(([0], at))
     n = len(ends)

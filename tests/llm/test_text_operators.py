@@ -1,5 +1,6 @@
 """Parts of the training-data operators that need no Spark, against brute force and round trips."""
 
+import itertools
 import math
 import random
 import unicodedata
@@ -178,19 +179,36 @@ def test_forms_of_null_and_empty():
 # --- pieces
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.sampled_from(["", "}", "  x = 1;", "äöü漢字🍃 word", "if (a) {", "y" * 300, "  end"]), max_size=80), st.integers(40, 400), st.integers(0, 60))
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["", "}", "  x = 1;", "äöü漢字🍃 word", "if (a) {", "y" * 300, "a(';');b();" * 30, "  end"]), max_size=80), st.integers(12, 400), st.integers(0, 390))
 def test_pieces_cover_the_text(lines, limit, overlap_):
     data = "\n".join(lines).encode()
+    if limit < overlap_ + 7:
+        with pytest.raises(ValueError):
+            pieces.split(data, limit, overlap_)
+        return
     got = pieces.split(data, limit, overlap_)
     assert got[0][0] == 0 and got[-1][1] == len(data)
-    held = max(0, min(overlap_, (limit - 1) // 2 - 3))
     for (a, b, _), (c, d, _) in zip(got, got[1:]):
-        assert b < d and held <= b - c <= held + 3 or c == 0
+        assert b < d and (overlap_ <= b - c <= overlap_ + 3 or c == 0)
     for a, b, _ in got:
         assert b - a <= limit and data[a:b].decode() is not None
 
 
+def test_overlaps_are_as_asked():
+    assert [b - c for (_, b, _), (c, _, _) in itertools.pairwise(pieces.split(b"x" * 60, 20, 10))] == [10] * len(pieces.split(b"x" * 60, 20, 10)[1:])
+    with pytest.raises(ValueError):
+        pieces.split(b"x" * 40, 12, 10)
+
+
+def test_long_lines_are_cut_after_statements():
+    line = b'function a(){b(";;;");c()}' * 40
+    for a, b, cut in pieces.split(line, 200, 0)[:-1]:
+        assert cut == "block" and line[:b].endswith(b"}")
+    for a, b, cut in pieces.split(b"call(1, 'a;b');" * 40, 100, 0)[:-1]:
+        assert cut == "statement" and (b % 15) == 0
+
+
 def test_cuts_fall_on_function_ends():
     body = "".join(f"fn f{k}() {{\n    a();\n    b();\n}}\n\n" for k in range(60))
     got = pieces.split(body.encode(), 400, 50)
