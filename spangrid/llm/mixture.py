@@ -70,16 +70,20 @@ def _round_block(table: pa.Table) -> pa.Table:
 def source_plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
     """One row per listed source: what it holds, what it should give, and the copies per record that give it.
 
-    total_tokens is the size wanted; by default all tokens of the listed sources. A source gives its share of that, or
-    all it can with max_repeats. A source that does not occur gives nothing.
+    total_tokens is the size of a mixture in which every listed source gives its share. By default it is the largest at
+    which no source that occurs is held back by its max_repeats, so that their shares stand to one another as asked. Of a
+    larger size a source gives its share or all it can; what it lacks is not handed to others. A source that does not
+    occur, or may not be used, gives nothing and bounds nothing.
     """
     held = sized.groupBy("source").agg(F.sum("n_tokens").alias("held_tokens"), F.count_if(F.col("n_tokens") > 0).alias("held_docs"))
     wanted = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     listed = wanted.join(held, "source", "left").fillna(0, ["held_tokens", "held_docs", "max_repeats"]).fillna(0.0, ["target_share"])
-    total = F.lit(float(total_tokens)) if total_tokens is not None else F.col("all_tokens").cast("double")
-    everything = listed.agg(F.coalesce(F.sum("held_tokens"), F.lit(0)).alias("all_tokens"))
+    most = F.col("held_tokens") * F.col("max_repeats")
+    bound = F.when((most > 0) & (F.col("target_share") > 0), most / F.col("target_share"))
+    # one row of totals
+    size = listed.agg((F.lit(float(total_tokens)) if total_tokens is not None else F.coalesce(F.min(bound), F.lit(0.0))).alias("size"))
     rate = F.when(F.col("held_tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("wanted_tokens") / F.col("held_tokens"))).otherwise(0.0)
-    return listed.join(F.broadcast(everything)).withColumn("wanted_tokens", F.col("target_share") * total).withColumn("rate", rate).drop("all_tokens")
+    return listed.join(F.broadcast(size)).withColumn("wanted_tokens", F.col("target_share") * F.col("size")).withColumn("rate", rate).drop("size")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 17, path: str | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +91,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
 
     records: doc_id, source, n_tokens, copies of every record of a listed source, copies 0 included. Records without a
     source, with an unlisted source, or with a null or empty text (no tokens) are not in it. shares: one row per listed
-    source with the share wanted and the share reached.
+    source with the share wanted, the share reached, and the tokens wanted and lacking.
     """
     keyed = documents.where("source is not null").select(F.struct("doc_id", "source").alias("doc"), "text")
     counted = token_counts(keyed.where("text is not null"), "doc", "text", path).select("doc.doc_id", "doc.source", "n_tokens")
@@ -116,5 +120,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     shares = plan.join(got, "source", "left").fillna(0, ["tokens", "copies", "most_copies"])
     total = shares.agg(F.sum("tokens").alias("mixture_tokens"))
     reached = F.when(F.col("mixture_tokens") > 0, F.col("tokens") / F.col("mixture_tokens")).otherwise(0.0)
-    shares = shares.join(F.broadcast(total)).select("source", "target_share", reached.alias("reached_share"), "max_repeats", "most_copies", "held_docs", "held_tokens", "copies", "tokens")
+    shares = shares.join(F.broadcast(total)).select(
+        "source", "target_share", reached.alias("reached_share"), "max_repeats", "most_copies", "held_docs", "held_tokens", "copies", "tokens",
+        F.round("wanted_tokens", 3).alias("wanted_tokens"), F.round(F.greatest(F.col("wanted_tokens") - F.col("tokens"), F.lit(0.0)), 3).alias("lacking_tokens"),
+    )
     return records, shares

@@ -130,16 +130,28 @@ def test_mixture_shares_and_caps(spark):
     rows += [(9001, None, "big"), (9002, "", "big"), (9003, "no source", None), (9004, "not listed", "other"), rows[0]]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns(clashing())
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.4, 3), ("tiny", 0.05, 2), ("absent", 0.05, 2)], "source string, target_share double, max_repeats int")
+    total = 23_000
     for block in (100_000, 37):
-        records, shares = mixture.mixture(df, targets, block=block)
+        records, shares = mixture.mixture(df, targets, total, block=block)
         got = {r.source: r for r in shares.collect()}
-        total = sum(r.held_tokens for r in got.values())
+        assert got["tiny"].lacking_tokens == pytest.approx(0.05 * total - 24)
         assert got["absent"].tokens == 0 and got["tiny"].copies == 8
         for name, share in (("big", 0.5), ("small", 0.4)):
             assert got[name].tokens == pytest.approx(share * total, rel=0.02)
         assert all(r.most_copies <= r.max_repeats for r in got.values())
         assert records.count() == 1504 and records.where("doc_id > 9000").count() == 0
-        assert sorted(records.collect()) == sorted(mixture.mixture(df, targets, block=block)[0].collect())
+        assert sorted(records.collect()) == sorted(mixture.mixture(df, targets, total, block=block)[0].collect())
+
+
+def test_mixture_keeps_shares_to_one_another(spark):
+    """By default the size is the largest at which no source that occurs lacks anything."""
+    rows = [(k, "word " * 9 + "end", "big") for k in range(4000)] + [(5000 + k, "word " * 9 + "end", "small") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 2), ("absent", 0.1, 2), ("barred", 0.0, 0)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixture.mixture(df, targets)[1].collect()}
+    assert got["small"].copies == 400 and got["small"].lacking_tokens == 0 and got["big"].copies == 800
+    assert got["big"].reached_share == pytest.approx(0.6 / 0.9) and got["absent"].tokens == got["barred"].tokens == 0
+
 
 
 def test_prose_syntax_and_provenance_of_files(spark):
