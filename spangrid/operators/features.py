@@ -5,12 +5,13 @@ Nothing in it depends on language, path, offsets or the gap itself, so changing
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import scanner, units
@@ -19,7 +20,8 @@ from .roles import ROLES
 WIDTH = 192
 #: Rows that a worker holds before it hands them on.
 ROWS = 4000
-_TOKEN, _SPACES = units._TOKEN, units._SPACES
+_TOKEN = re.compile(r"\r\n|[\r\n]|[ \t\x0b\x0c]+|[0-9A-Za-z_\x80-\xff]+|[\s\S]")
+_SPACE = re.compile(r"[ \t\x0b\x0c]+|\r?\n|\r")
 # Start and multiplier of the 64-bit FNV-1a hash.
 _START, _PRIME, _MASK = 14695981039346656037, 1099511628211, (1 << 64) - 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -36,12 +38,10 @@ def fnv1a(word: str) -> int:
 @lru_cache(1 << 16)
 def bag(value: str, size: int = 32) -> np.ndarray:
     """Signed counts of hashed tokens in the first 512 bytes, over the square root of their number."""
-    out = np.zeros(size)
-    tokens = [t for t in _TOKEN.findall(value[:512]) if not _SPACES.fullmatch(t) and t not in ("\r\n", "\n", "\r")]
-    for t in tokens:
-        h = fnv1a(t)
-        out[h % size] += -1.0 if h >> 32 & 1 else 1.0
-    return out / math.sqrt(max(len(tokens), 1))
+    tokens = [t for t in _TOKEN.findall(value[:512]) if not _SPACE.fullmatch(t)]
+    hashes = np.fromiter(map(fnv1a, tokens), dtype=np.uint64, count=len(tokens))
+    signs = 1.0 - 2.0 * ((hashes >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
+    return np.bincount((hashes % np.uint64(size)).astype(np.int64), weights=signs, minlength=size) / np.sqrt(max(len(tokens), 1))
 
 
 @lru_cache(1 << 16)
@@ -49,40 +49,66 @@ def first_word(value: str) -> str:
     return next((t for t in _TOKEN.findall(value) if (t[0].isalnum() and t[0].isascii() or t[0] == "_" or t[0] >= "\x80") and not t.isdigit()), "")
 
 
-def vectors(text: str) -> tuple[list[scanner.Boundary], np.ndarray]:
-    """(boundaries, one vector each) of a text whose characters are bytes."""
+#: Channels and the property of a boundary's line that each pair shows, left line first. The channels' numbers.
+_PAIRS = {
+    8: lambda v: np.log2(1 + min(len(v), 1024)) / 10,
+    10: lambda v: v[:1] in ("}", ")", "]"),
+    12: lambda v: v.endswith(("{", ":")),
+    14: lambda v: v.endswith(";"),
+    19: lambda v: "(" in v,
+    21: lambda v: "=" in v,
+    23: lambda v: v.endswith(","),
+    28: lambda v: ":" in v,
+    30: lambda v: v.endswith("}"),
+}
+ALL = frozenset(range(WIDTH))
+
+
+def vectors(text: str, channels: Iterable[int] = ALL) -> tuple[list[scanner.Boundary], np.ndarray]:
+    """(boundaries, one vector each) of a text whose characters are bytes. Channels that are not asked for may be 0."""
+    wanted = frozenset(channels)
     all_lines, _ = scanner.scan(text)
     nonblank, found = scanner.boundaries(all_lines)
-    lines = [all_lines[k] for k in nonblank]
     out = np.zeros((len(found), WIDTH), dtype=np.float32)
-    words = [first_word(x.value) for x in lines]
-    for row, b, deep in zip(out, found, units.structural_channels(lines, found)):
-        left, right = lines[b.before], lines[b.after]
-        a, z = left.value, right.value
-        row[0] = 1
-        row[1], row[2] = min(left.indent, 32) / 32, min(right.indent, 32) / 32
-        row[3], row[4] = max(-1, min(1, (right.indent - left.indent) / 16)), left.indent == right.indent
-        row[8], row[9] = (math.log2(1 + min(len(x), 1024)) / 10 for x in (a, z))
-        row[10], row[11] = a[:1] in ("}", ")", "]"), z[:1] in ("}", ")", "]")
-        row[12], row[13] = a.endswith(("{", ":")), z.endswith(("{", ":"))
-        row[14], row[15] = a.endswith(";"), z.endswith(";")
-        row[18] = words[b.before] == words[b.after]
-        for at, sign in ((19, "("), (21, "="), (28, ":")):
-            row[at], row[at + 1] = sign in a, sign in z
-        for at, sign in ((23, ","), (30, "}")):
-            row[at], row[at + 1] = a.endswith(sign), z.endswith(sign)
-        row[25], row[26] = left.indent == 0, right.indent == 0
-        row[27] = z.startswith("@") and not z.endswith(";") or z.startswith("#[")
-        row[32:64], row[64:96] = bag(a), bag(z)
+    if not found or not wanted:
+        return found, out
+    lines = [all_lines[k] for k in nonblank]
+    values = [x.value for x in lines]
+    before, after = (np.array([b[side] for b in found], dtype=np.int64) for side in (0, 1))
+    # each line's property once, then picked for both sides of all boundaries
+    indent = np.array([x.indent for x in lines], dtype=np.float64)
+    out[:, 0] = 1
+    out[:, 1], out[:, 2] = (np.minimum(indent[side], 32) / 32 for side in (before, after))
+    out[:, 3] = np.clip((indent[after] - indent[before]) / 16, -1, 1)
+    out[:, 4], out[:, 25], out[:, 26] = indent[before] == indent[after], indent[before] == 0, indent[after] == 0
+    for at, show in _PAIRS.items():
+        if wanted & {at, at + 1}:
+            column = np.array([show(v) for v in values], dtype=np.float64)
+            out[:, at], out[:, at + 1] = column[before], column[after]
+    depth = np.array([(x.braces, x.parentheses, x.brackets) for x in lines], dtype=np.float64)
+    out[:, 5:8] = np.clip(depth[before] / 8, -1, 1)
+    comment = np.array([x.comment for x in lines])
+    out[:, 16], out[:, 17] = comment[before], comment[after]
+    out[:, 27] = np.array([v.startswith("@") and not v.endswith(";") or v.startswith("#[") for v in values])[after]
+    if wanted & {18, *range(96, 128)}:
+        names = [first_word(v) for v in values]
+        out[:, 18] = [names[b.before] == names[b.after] for b in found]
+        buckets = np.array([fnv1a(w) % 16 for w in names], dtype=np.int64)
+        rows = np.arange(len(found))
         for d in (1, 2, 3):
-            if b.before >= d:
-                row[96 + fnv1a(words[b.before - d]) % 16] += 1 / d
-            if b.after + d < len(lines):
-                row[112 + fnv1a(words[b.after + d]) % 16] += 1 / d
-        row[128 + ROLES.index(units.role(a))] = 1
-        row[136 + ROLES.index(units.role(z))] = 1
-        for channel, value in deep.items():
-            row[channel] = value
+            for base, at in ((96, before - d), (112, after + d)):
+                there = (at >= 0) & (at < len(lines))
+                out[rows[there], base + buckets[at[there]]] += np.float32(1 / d)
+    if wanted & set(range(32, 96)):
+        bags = np.array([bag(v) for v in values])
+        out[:, 32:64], out[:, 64:96] = bags[before], bags[after]
+    if wanted & set(range(128, 144)):
+        role = np.array([ROLES.index(units.role(v)) for v in values])
+        out[np.arange(len(found)), 128 + role[before]] = 1
+        out[np.arange(len(found)), 136 + role[after]] = 1
+    if wanted & set(range(144, 187)):
+        units.structural_channels(units.Columns(lines), found, out, wanted)
+    out[:, 187:] = 0
     return found, out
 
 
@@ -106,16 +132,20 @@ def scanned_lines(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, _LINES)
 
 
-def boundary_vectors(documents: DataFrame) -> DataFrame:
-    """doc_id, boundary_id, blank_lines, crlf, before, after, input (192 floats) of every boundary that may change."""
+def boundary_vectors(documents: DataFrame, channels: Iterable[int] = ALL) -> DataFrame:
+    """doc_id, boundary_id, blank_lines, crlf, before, after, input (192 floats) of every boundary that may change.
+
+    Only the channels asked for are worked out. A null text has no boundary.
+    """
     schema = "doc_id long, boundary_id int, blank_lines int, crlf boolean, before int, after int, input array<float>"
+    wanted = frozenset(channels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "boundary_id", "blank_lines", "crlf", "before", "after", "input"]
         for pdf in batches:
             rows: list[tuple] = []
             for key, text in zip(pdf["doc_id"], pdf["text"]):
-                found, x = vectors(scanner.as_bytes(text))
+                found, x = vectors(scanner.as_bytes(text), wanted)
                 rows += [(key, n, b.blank_lines, b.crlf, b.before, b.after, v) for n, (b, v) in enumerate(zip(found, x))]
                 if len(rows) > ROWS:
                     yield pd.DataFrame(rows, columns=names)
@@ -123,3 +153,17 @@ def boundary_vectors(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     return documents.select("doc_id", "text").where("text IS NOT NULL").mapInPandas(run, schema)
+
+
+def eligible_counts(documents: DataFrame) -> DataFrame:
+    """doc_id, boundaries, with_gap of every document that has a boundary that may change, by the scanner alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, texts = (batch.column(k).to_pylist() for k in range(2))
+            gaps = [[b.blank_lines for b in scanner.boundaries(scanner.scan(scanner.as_bytes(t))[0])[1]] for t in texts]
+            some = [k for k, g in enumerate(gaps) if g]
+            columns = ([keys[k] for k in some], [len(gaps[k]) for k in some], [sum(x > 0 for x in gaps[k]) for k in some])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "boundaries", "with_gap"])
+
+    return documents.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(run, "doc_id long, boundaries long, with_gap long")
