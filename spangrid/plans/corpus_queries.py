@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus, layout, lexing
-from ..session import table
+from ..session import materialise, table
 from .registry import query
-from .text_queries import BOUNDS, DOCS, FIRST_WORD, NONBLANK, TOKEN_RE, docs
+from .text_queries import BOUNDS, DOCS, FIRST_WORD, HEADER_SQL, NONBLANK, TOKEN_RE, docs, has_header_mark
 
 _SHOWN = f"list_filter(regexp_extract_all(@, '{TOKEN_RE}'), lambda t: NOT regexp_matches(t, '^[ \\t\\x0B\\f\\r\\n]'))"
 
@@ -95,13 +95,15 @@ def cor05(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATH_HASH = _WORD_HASH.replace("strlen(t)", "strlen(raw)").replace("translate(t,", "translate(raw,")
 
 
-@query("cor06_split_assignment", f"""WITH f AS (SELECT DISTINCT f.file_id, f.repository || '/' || f.path AS raw, c.source_role AS role FROM source_files f JOIN corpus_sources c ON c.repository = f.repository), h AS (SELECT *, CAST({_PATH_HASH} % 100 AS INT) AS bucket FROM f)
-SELECT file_id, CASE WHEN role = 'style' THEN CASE WHEN bucket < 20 THEN 'style_validation' ELSE 'style_train' END WHEN role = 'test' THEN 'test' WHEN role = 'unseen' THEN 'unseen_language' WHEN bucket < 15 THEN 'validation' ELSE 'train' END AS split FROM h""")
+@query("cor06_split_assignment", f"""WITH f AS (SELECT f.file_id, f.repository || '/' || f.path AS raw, c.source_role AS role, max(CASE WHEN f.layout_corrected THEN f.split END) AS sample FROM source_files f JOIN corpus_sources c ON c.repository = f.repository GROUP BY ALL), h AS (SELECT *, CAST({_PATH_HASH} % 100 AS INT) AS bucket FROM f)
+SELECT file_id, CASE WHEN sample IS NOT NULL THEN sample WHEN role = 'style' THEN CASE WHEN bucket < 20 THEN 'style_validation' ELSE 'style_train' END WHEN role = 'test' THEN 'test' WHEN role = 'unseen' THEN 'unseen_language' WHEN bucket < 15 THEN 'validation' ELSE 'train' END AS split FROM h""")
 def cor06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split that an edited sample of the file gives, else by the source's role and the path's hash."""
     c = table(spark, sf_dir, "corpus_sources").select("repository", F.col("source_role").alias("role"))
-    f = table(spark, sf_dir, "source_files").select("file_id", "repository", "path").distinct().join(c, "repository")
+    sample = F.max(F.when(F.col("layout_corrected"), F.col("split"))).alias("sample")
+    f = table(spark, sf_dir, "source_files").groupBy("file_id", "repository", "path").agg(sample).join(c, "repository")
     raw = F.concat_ws("/", "repository", "path")
-    return f.select("file_id", corpus.assign_split(lexing.fnv1a(raw), F.col("role")).alias("split")).distinct()
+    return f.select("file_id", F.coalesce("sample", corpus.assign_split(lexing.fnv1a(raw), F.col("role"))).alias("split"))
 
 
 @query("scl12_unsigned_bucket", f"WITH f AS (SELECT DISTINCT path AS raw FROM source_files) SELECT raw AS path, CAST({_PATH_HASH} % 100 AS INT) AS bucket FROM f")
@@ -156,18 +158,29 @@ def jon03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("owned"))
 
 
-_REASON = "CASE WHEN contains(lower(substr(text, 1, 2048)), 'code generated') OR contains(lower(substr(text, 1, 2048)), '@generated') THEN 'generated' WHEN coalesce(n, 0) < 3 THEN 'few_boundaries' WHEN copies > 1 AND doc_id <> first_id THEN 'duplicate' ELSE 'kept' END"
+_GIVEN = DOCS.replace("docs AS (", "given AS (", 1)
+_EARLY = f"""{_GIVEN}, p AS (SELECT doc_id, list_transform(list_filter(list_zip(range(len(l)), l), lambda x: trim(x[2], chr(32) || chr(9) || chr(13)) <> ''), lambda x: x[1]) AS spots FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM given)),
+early AS (SELECT doc_id, split, {HEADER_SQL.replace('{t}', 'text')} AS tool, len(list_filter(range(1, len(spots)), lambda k: spots[k + 1] - spots[k] <= 3)) < 3 AS few FROM given JOIN p USING (doc_id)),
+docs AS (SELECT g.* FROM given g JOIN early e USING (doc_id) WHERE NOT e.tool AND NOT e.few AND coalesce(e.split, '') <> 'rejected')"""
+_KEPT = f"kept AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY cluster ORDER BY {_PRIO} DESC, doc_id) AS rn FROM cl JOIN info USING (doc_id)) WHERE rn = 1)"
 
 
-@query("cor08_rejections", f"WITH {BOUNDS}, c AS (SELECT doc_id, count(*) AS n FROM bounds GROUP BY doc_id), d AS (SELECT *, md5(text) AS digest FROM docs), g AS (SELECT digest, count(*) AS copies, min(doc_id) AS first_id FROM d GROUP BY digest) SELECT {_REASON} AS reason, count(*) AS files FROM d JOIN g USING (digest) LEFT JOIN c USING (doc_id) GROUP BY ALL")
+@query("cor08_rejections", f"WITH RECURSIVE {CLUSTERS.replace(DOCS, _EARLY)}, {_KEPT} SELECT CASE WHEN tool THEN 'generated_header' WHEN few THEN 'insufficient_boundaries' WHEN split = 'rejected' THEN 'rejected_before' WHEN kept.doc_id IS NULL THEN 'duplicate' ELSE 'kept' END AS reason, count(*) AS files FROM early LEFT JOIN kept USING (doc_id) GROUP BY ALL")
 def cor08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons in order; the text is dropped before copies are looked up, so only digests are shuffled."""
+    """Reasons in order: a tool's mark at the head, fewer than three boundaries of at most two blank lines, rejected
+    before, a near copy of a file of higher split priority (of the whole cluster one file stays).
+
+    A text that is no UTF-8 cannot be in a string column (flt01 counts them); reasons that need a syntax tree
+    (parse failure, a tree that changes with the gaps) are cor11 to cor13.
+    """
     d = layout.with_nonblank(docs(spark, sf_dir))
-    head = F.lower(F.substring("text", 1, 2048))
-    d = d.select("doc_id", F.md5("text").alias("digest"), (head.contains("code generated") | head.contains("@generated")).alias("tool"), (F.size("nb") < 4).alias("few"))
-    g = d.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
-    reason = F.when(F.col("tool"), "generated").when(F.col("few"), "few_boundaries").when((F.col("copies") > 1) & (F.col("doc_id") != F.col("first_id")), "duplicate").otherwise("kept")
-    return d.join(g, "digest").groupBy(reason.alias("reason")).agg(F.count("*").alias("files"))
+    close = F.expr("size(filter(IF(size(nb) < 2, array(), sequence(1, size(nb) - 1)), k -> nb[k].line_no - nb[k - 1].line_no <= 3))")
+    d = d.select("doc_id", "split", "text", has_header_mark(F.col("text")).alias("tool"), (close < 3).alias("few"))
+    passed = ~F.col("tool") & ~F.col("few") & (F.coalesce("split", F.lit("")) != "rejected")
+    p = materialise(corpus.fingerprints(d.where(passed), "split"))
+    kept = corpus.representatives(corpus.clusters(p).join(p.select("doc_id", "split"), "doc_id")).select("doc_id", F.lit(True).alias("kept"))
+    reason = F.when(F.col("tool"), "generated_header").when(F.col("few"), "insufficient_boundaries").when(F.col("split") == "rejected", "rejected_before").when(F.col("kept").isNull(), "duplicate").otherwise("kept")
+    return d.drop("text").join(kept, "doc_id", "left").groupBy(reason.alias("reason")).agg(F.count("*").alias("files"))
 
 
 _FW = FIRST_WORD

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import markdown_escape
-from ..operators import features, layout, metrics, model, roles, scanner, units
+from ..operators import features, guards, layout, metrics, model, roles, scanner, units
 from ..session import table
 from ..sources.files import read_paths, read_text
 from .registry import ORACLES, query
@@ -31,7 +31,12 @@ def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", "comment", F.coalesce(nxt, F.max("line_no").over(w)).alias("next_line")).where("comment").drop("comment")
 
 
-@query("jon11_nearest_same_indent", f"WITH {NONBLANK}, c AS (SELECT a.doc_id, a.nb_pos, a.indent, max(b.nb_pos) AS near FROM nonblank a JOIN nonblank b ON b.doc_id = a.doc_id AND b.nb_pos BETWEEN a.nb_pos - 16 AND a.nb_pos - 1 AND b.indent <= a.indent GROUP BY ALL) SELECT c.doc_id, c.nb_pos, c.near FROM c JOIN nonblank n ON n.doc_id = c.doc_id AND n.nb_pos = c.near AND n.indent = c.indent")
+_BACK = ", ".join(f"lag(indent, {k}) OVER w AS d{k}" for k in range(1, 17))
+_NEAR = " ".join(f"WHEN d{k} <= indent THEN {k}" for k in range(1, 17))
+_LEVEL = " ".join(f"WHEN d{k} <= indent THEN d{k}" for k in range(1, 17))
+
+
+@query("jon11_nearest_same_indent", f"WITH {NONBLANK}, c AS (SELECT doc_id, nb_pos, indent, {_BACK} FROM nonblank WINDOW w AS (PARTITION BY doc_id ORDER BY nb_pos)), n AS (SELECT doc_id, nb_pos, indent, nb_pos - CASE {_NEAR} END AS near, CASE {_LEVEL} END AS level FROM c) SELECT doc_id, nb_pos, CAST(near AS INT) AS near FROM n WHERE level = indent")
 def jon11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest of the sixteen lines before with the same indent, unless a shallower one is nearer: an as-of lookup
     inside a document's own array."""
@@ -184,15 +189,7 @@ def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("evl08_guards", f"WITH {DOCS} SELECT count(*) AS files, CAST(0 AS BIGINT) AS changed FROM docs")
 def evl08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose nonblank lines differ after every gap was set to 0, 1 and 2; none may."""
-    from ..operators.formatting import values
-
-    @F.udf("boolean")
-    def differs(text: str) -> bool:
-        data = scanner.as_bytes(text)
-        found = scanner.boundaries(scanner.scan(data)[0])[1]
-        return any(values(scanner.as_text(scanner.render(data, found, [k] * len(found)))) != values(text) for k in (0, 1, 2))
-
-    d = docs(spark, sf_dir).select(differs("text").alias("differs"))
+    d = docs(spark, sf_dir).select(guards.per_text("text", "boolean", guards.lines_differ).alias("differs"))
     return d.agg(F.count("*").alias("files"), F.count_if("differs").alias("changed"))
 
 

@@ -7,8 +7,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import features, formatting, model, scanner, units
-from ..session import shared_dir, table
+from ..operators import features, formatting, guards, model, scanner, units
+from ..session import new_folder, shared_dir, table
 from ..streaming import events as streams
 from .registry import query
 from .text_queries import docs
@@ -18,8 +18,9 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.scanned_lines(docs(spark, sf_dir))
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.boundary_vectors(docs(spark, sf_dir))
+def _vectors(spark: SparkSession, sf_dir: str, *channels: int) -> DataFrame:
+    """Vectors of all boundaries; of the channels named if any are, else of all."""
+    return features.boundary_vectors(docs(spark, sf_dir), channels or features.ALL)
 
 
 @query("lay02_scanned_lines")
@@ -53,24 +54,14 @@ def lay16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lay18_tags")
 def lay18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that hold at least one complete tag, and how many."""
-
-    @F.udf("int")
-    def tags(text: str) -> int:
-        n, at = 0, text.find("<")
-        while at >= 0:
-            end = scanner.tag_end(text, at)
-            n += end > 0
-            at = text.find("<", end if end > 0 else at + 1)
-        return n
-
     d = docs(spark, sf_dir).where(F.col("text").contains("<"))
-    return d.select("doc_id", tags("text").alias("tags")).where("tags > 0")
+    return d.select("doc_id", guards.per_text("text", "int", guards.tags).alias("tags")).where("tags > 0")
 
 
 @query("flt05_eligible_boundaries")
 def flt05(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boundaries that may change, per file; flt06 is the part of the same filter that looks between the lines."""
-    return _vectors(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("boundaries"), F.count_if(F.col("blank_lines") > 0).alias("with_gap"))
+    return features.eligible_counts(docs(spark, sf_dir))
 
 
 @query("flt06_protected_gaps")
@@ -85,7 +76,7 @@ def flt06(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("lex07_token_bags")
 def lex07(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fea15 channels 32 to 95 of every boundary, as the sum and the largest size of each bag."""
-    v = _vectors(spark, sf_dir)
+    v = _vectors(spark, sf_dir, *range(32, 96))
     left, right = F.slice("input", 33, 32), F.slice("input", 65, 32)
     total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 5)
     return v.select("doc_id", "boundary_id", total(left).alias("left_sum"), total(right).alias("right_sum"))
@@ -117,7 +108,7 @@ def unt03(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _block(name: str, first: int, last: int) -> None:
     @query(name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _vectors(spark, sf_dir).select("doc_id", "boundary_id", F.slice("input", first + 1, last - first + 1).alias("channels"))
+        return _vectors(spark, sf_dir, *range(first, last + 1)).select("doc_id", "boundary_id", F.slice("input", first + 1, last - first + 1).alias("channels"))
 
 
 for _name, _first, _last in (
@@ -131,14 +122,7 @@ for _name, _first, _last in (
 def fea25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose vectors change when every gap is set to 2; none should."""
 
-    @F.udf("boolean")
-    def moved(text: str) -> bool:
-        data = scanner.as_bytes(text)
-        found, before = features.vectors(data)
-        again, after = features.vectors(scanner.render(data, found, [2] * len(found)))
-        return len(found) != len(again) or bool((before != after).any())
-
-    return docs(spark, sf_dir).select("doc_id", moved("text").alias("moved")).groupBy("moved").agg(F.count("*").alias("files"))
+    return docs(spark, sf_dir).select("doc_id", guards.per_text("text", "boolean", guards.vectors_move).alias("moved")).groupBy("moved").agg(F.count("*").alias("files"))
 
 
 def _sample(spark: SparkSession, sf_dir: str, rows_per_label: int = 400) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,7 +157,7 @@ def format_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("evl07_inspection")
 def evl07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("doc_id", "boundary_id", "before", "after", "blank_lines", "crlf")
+    return _vectors(spark, sf_dir, 0).select("doc_id", "boundary_id", "before", "after", "blank_lines", "crlf")
 
 
 @query("evl02_case_groups")
@@ -209,7 +193,7 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows written by snk05 and read again with validation."""
     from ..sources.dataset import read_dataset, write_dataset
 
-    path = f"{shared_dir(spark).rstrip('/')}/dataset-{abs(hash(sf_dir))}"
+    path = new_folder(spark, "dataset")
     v = _vectors(spark, sf_dir).where("blank_lines <= 2")
     rows = v.select(F.col("doc_id").alias("file_id"), "boundary_id", (F.col("doc_id") % 12).cast("int").alias("language_id"), F.col("blank_lines").alias("label"), "input", F.when(F.col("doc_id") % 10 == 0, "validation").otherwise("train").alias("split"))
     write_dataset(rows, path)
@@ -219,7 +203,7 @@ def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("snk06_summary")
 def snk06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One JSON line of totals."""
-    t = _vectors(spark, sf_dir).agg(F.count("*").alias("boundaries"), F.countDistinct("doc_id").alias("files"), F.lit(features.WIDTH).alias("width"))
+    t = _vectors(spark, sf_dir, 0).agg(F.count("*").alias("boundaries"), F.countDistinct("doc_id").alias("files"), F.lit(features.WIDTH).alias("width"))
     return t.select(F.to_json(F.struct("boundaries", "files", "width")).alias("summary"))
 
 

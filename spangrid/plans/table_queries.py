@@ -35,6 +35,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources and paths
 
+# Parts and marks of paths that are left out.
 EXCLUDED_PARTS = ("test", "tests", "testing", "__tests__", "fixtures", "snapshots", "generated", "vendor", "third_party", "node_modules")
 EXCLUDED_MARKS = (".test.", ".spec.", "_test.", "_tests.", "_fuzz.", "testutil.", "/fuzz.", ".generated.", ".min.")
 # The extension of each language, in the order of LANGUAGES.

@@ -186,14 +186,25 @@ def flt01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
 
 
-@query("flt10_generated_header", f"WITH {DOCS}, h AS (SELECT doc_id, lower(substr(text, 1, 2048)) AS head FROM docs) SELECT doc_id FROM h WHERE contains(head, 'code generated') OR contains(head, '@generated') OR contains(head, 'auto-generated') OR contains(head, 'do not edit')")
-def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.lower(F.substring("text", 1, 2048))
-    marks = ("code generated", "@generated", "auto-generated", "do not edit")
+# What a tool writes into the head of a file, and the bytes of the head.
+HEADER_MARKS = ("DO NOT EDIT", "DO NOT MODIFY", "Code generated", "automatically generated")
+HEAD_BYTES = 2048
+#: Marks are looked for among bytes, as the head may end amid a character: pairs of hex digits.
+HEADER_SQL = f"regexp_matches(hex(array_slice(encode({{t}}), 1, {HEAD_BYTES})), '^(..)*({'|'.join(m.encode().hex().upper() for m in HEADER_MARKS)})')"
+
+
+def has_header_mark(text: Column) -> Column:
+    head = F.substring(F.encode(text, "UTF-8"), 1, HEAD_BYTES)
     hit = F.lit(False)
-    for m in marks:
-        hit = hit | head.contains(m)
-    return docs(spark, sf_dir).where(hit).select("doc_id")
+    for mark in HEADER_MARKS:
+        hit = hit | F.contains(head, F.encode(F.lit(mark), "UTF-8"))
+    return hit
+
+
+@query("flt10_generated_header", f"WITH {DOCS} SELECT doc_id FROM docs WHERE {HEADER_SQL.replace('{t}', 'text')}")
+def flt10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a tool's mark, as it is spelt, in the first 2,048 bytes."""
+    return docs(spark, sf_dir).where(has_header_mark(F.col("text"))).select("doc_id")
 
 
 @query("flt11_minimum_boundaries", f"WITH {BOUNDS} SELECT doc_id, count(*) AS boundaries FROM bounds GROUP BY doc_id HAVING count(*) >= 3")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -16,17 +19,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of our own only where the session names none (tests)."""
+    """The folder all executors share; a folder of our own only in local mode where the session names none (tests).
+
+    On a cluster a folder of one machine would hold a part of each table only, so there a session without one is an error.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
     if not named:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
-        named = "file://" + tempfile.mkdtemp(prefix="spangrid-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="spangrid-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = "file://" + own
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def new_folder(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own in the shared folder. What is written there is deleted when the program ends, or by `release`."""
+    path = f"{shared_dir(spark).rstrip('/')}/spangrid-{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_release_at_exit)
+    _folders[path] = spark
+    return path
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+def release() -> int:
+    """Delete all tables written so far; frames that read them are of no use afterwards. Returns their number."""
+    n = 0
+    for path, spark in list(_folders.items()):
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        del _folders[path]
+        n += 1
+    return n
+
+
+def _release_at_exit() -> None:
+    # a session that is gone has taken its connection along; then the folder's owner has to clear it
+    with contextlib.suppress(Exception):
+        release()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
@@ -42,7 +82,7 @@ def materialise(df: DataFrame) -> DataFrame:
     Unlike a checkpoint the columns stay prunable, so later readers of two columns don't read the rest.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spangrid-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -3,11 +3,11 @@ as they arrive. Each is a plain transformation that a batch and a stream share."
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import new_folder
+
 
 def latest(events: DataFrame) -> DataFrame:
     """The newest event of each user; of events at one time the one with the largest id."""
@@ -37,31 +37,32 @@ def _stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run_latest(spark: SparkSession, path: str, shared: str) -> DataFrame:
-    """latest() by a stream over a table's files, with watermark and update mode; every batch merges into a table."""
-    base = f"{shared.rstrip('/')}/latest-{uuid.uuid4().hex}"
-    state = {"path": None, "n": 0}
-
-    def merge(batch: DataFrame, _: int) -> None:
-        new = batch.select("user_id", "ts", "event_id")
-        if state["path"]:
-            new = new.unionByName(batch.sparkSession.read.parquet(state["path"]))
-        state["n"] += 1
-        path_now = f"{base}/{state['n']}"
-        new.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*").write.parquet(path_now)
-        state["path"] = path_now
-
-    rows = _stream(spark, path).where("user_id IS NOT NULL")
-    rows.writeStream.foreachBatch(merge).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
-    if not state["path"]:
-        return spark.createDataFrame([], "user_id long, event_id long")
-    return spark.read.parquet(state["path"]).select("user_id", "event_id")
+    """latest() by a stream over a table's files: an aggregation in update mode, whose state store holds one row a user.
+
+    Each batch writes the users it changed only; the newest row of each is read from the log of changes at the end.
+    """
+    base = new_folder(spark, "latest")
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    newest = F.max(F.struct("ts", "event_id")).alias("n")
+    changed = _stream(spark, path).where("user_id IS NOT NULL").groupBy("user_id").agg(newest)
+    changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    log = spark.read.schema("user_id long, n struct<ts: timestamp, event_id: long>, batch int").parquet(f"{base}/out") if _exists(spark, f"{base}/out") else spark.createDataFrame([], "user_id long, n struct<ts: timestamp, event_id: long>")
+    return log.groupBy("user_id").agg(F.max("n").alias("n")).select("user_id", "n.event_id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
 def run_format(spark: SparkSession, path: str, shared: str) -> DataFrame:
     """Golden inputs formatted as they arrive, into a table."""
     from ..operators.formatting import format_documents
 
-    base = f"{shared.rstrip('/')}/format-{uuid.uuid4().hex}"
+    base = new_folder(spark, "format")
 
     def write(batch: DataFrame, n: int) -> None:
         docs = batch.select(F.col("case_id").alias("doc_id"), F.col("input_text").alias("text"))
