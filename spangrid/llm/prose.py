@@ -26,6 +26,8 @@ from .lexers import blanked, extension, span_pattern
 LANGUAGES = ("en", "de", "fr", "es", "pt", "ru", "pl", "zh", "ja", "ko")
 #: Labelled documents per language that the dictionaries are built from; bounds what the driver collects.
 SAMPLE_ROWS = 300
+#: Characters that a labelled document in that sample may have.
+SAMPLE_CHARS = 20_000
 #: Bytes of text in one dictionary.
 DICTIONARY = 60_000
 #: Level of the encoder; a high one finds the short matches that short sentences depend on.
@@ -71,7 +73,6 @@ _TOKENS = re.compile(r"(?<!\S)[^\s\w]*[^\W\d_]\S*")
 _HAN, _KANA, _HANGUL, _CYR, _LAT = (re.compile(x) for x in ("[一-鿿]", "[぀-ヿ]", "[가-힣]", "[Ѐ-ԯ]", "[A-Za-zÀ-ɏ]"))
 _LATIN = ("en", "de", "fr", "es", "pt", "pl")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_TOO_CODE = re.compile(r"[{}]|;$|;\S|[=!<>+\-*/]=|=>|->|::|&&|\|\||\w\(\w*[,)]|\w\.\w+\(|(?<![\w.])\w+ = \w|\b[a-z]+[A-Z]\w*\(")
 
 
 def script_languages(sentence: str) -> tuple[str, ...]:
@@ -129,7 +130,7 @@ class Identifier:
 
     def _language(self, sentence: str) -> str | None:
         langs = [x for x in script_languages(sentence) if x in self.dictionaries]
-        if not langs or _TOO_CODE.search(sentence):
+        if not langs:
             return None
         data = sentence.lower().encode()
         sizes = {x: self.size(x, data) for x in langs}
@@ -198,15 +199,16 @@ def build_identifier(labelled: list[tuple[str, str]], code: list[str]) -> Identi
 _ALIASES = {"typescript": "ts", "javascript": "js", "python": "py", "java": "java", "rust": "rs", "zig": "zig", "go": "go", "cpp": "cpp", "csharp": "cs", "ruby": "rb", "kotlin": "kt", "swift": "swift"}
 
 
-def train_identifier(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, text: str = "text", lang: str = "lang") -> Identifier:
-    """An identifier from a bounded sample of labelled documents: at most sample_rows per label.
+def train_identifier(documents: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, text: str = "text", lang: str = "lang") -> Identifier:
+    """An identifier from a bounded sample of labelled documents: at most sample_rows per label, none of them longer
+    than sample_chars. The bounds hold for this fit only; files are searched whole.
 
     Labels of natural languages may have a region and any case; labels of programming languages give the code
     dictionary, without their comments and strings. Other labels and nulls are left out.
     """
     label = F.lower(F.substring_index(F.col(lang), "-", 1))
     known = [*LANGUAGES, *_ALIASES]
-    rows = documents.select(label.alias("label"), F.col(text).alias("text")).where(F.col("label").isin(*known) & F.col("text").isNotNull() & (F.length("text") <= 20_000))
+    rows = documents.select(label.alias("label"), F.col(text).alias("text")).where(F.col("label").isin(*known) & F.col("text").isNotNull() & (F.length("text") <= sample_chars))
     order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
     picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("label", "text").collect()
     code = [blanked(_ALIASES[r.label], r.text) for r in picked if r.label in _ALIASES]
