@@ -24,13 +24,19 @@ LOOK_ALIKES = {
     "Ӏ": "I", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
 }
+# Cyrillic letters drawn like Greek ones that have no Latin twin, and rarer letters drawn like Latin ones.
+LOOK_ALIKES |= {"Г": "Γ", "П": "Π", "Ф": "Φ", "Ѵ": "V", "ѵ": "v", "Ԍ": "G", "Ϳ": "J"}
 # Joined letters over the letters they join.
-JOINED = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st"}
+JOINED = {
+    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ſt", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj",
+    "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz", "ﬓ": "մն", "ﬔ": "մե", "ﬕ": "մի", "ﬖ": "վն", "ﬗ": "մխ",
+}
 # Wide signs outside the block that follows ASCII.
 WIDE_SIGNS = {"￠": "¢", "￡": "£", "￢": "¬", "￣": "¯", "￤": "¦", "￥": "¥", "￦": "₩"}
 # Characters that never show, in regular-expression form: soft hyphen, grapheme joiner, Mongolian vowel
-# separator, zero-width space, direction marks, word joiner and invisible operators, byte order mark.
-INVISIBLE = r"[\x{00AD}\x{034F}\x{180E}\x{200B}\x{200E}\x{200F}\x{2060}-\x{2064}\x{FEFF}]+"
+# separator, zero-width space, direction marks, left-to-right embeddings and isolates and their ends, word joiner and
+# invisible operators, shaping controls, byte order mark. What turns the direction round changes the look and stays.
+INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}\x{200E}\x{200F}\x{202A}\x{202C}\x{2060}-\x{2064}\x{2066}\x{2068}-\x{206F}\x{FEFF}]+"
 # Zero-width (non-)joiners change nothing after scripts whose letters do not join; after emoji, Arabic or Indic
 # letters they stay.
 JOINERS = r"(^|[\x{0000}-\x{052F}\x{10A0}-\x{10FF}\x{1100}-\x{11FF}\x{1E00}-\x{1FFF}\x{2000}-\x{200B}\x{200E}-\x{206F}\x{3000}-\x{D7FF}\x{F900}-\x{FAFF}\x{FB00}-\x{FB06}\x{FF00}-\x{FFEF}])[\x{200C}\x{200D}]+"
@@ -40,13 +46,18 @@ def _table() -> tuple[str, str]:
     """Source and target characters of one translate: wide forms, spaces, look-alikes with and without accents."""
     pairs = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)} | WIDE_SIGNS
     pairs |= {chr(c): " " for c in range(0x80, 0x10000) if unicodedata.category(chr(c)) == "Zs"}
-    for c in range(0x370, 0x530):
+    pairs |= {c: same for c, same in _accented().items() if len(same) == 1}
+    return "".join(pairs), "".join(pairs.values())
+
+
+def _accented() -> dict[str, str]:
+    """Greek and Cyrillic letters, with accents or without, over what looks the same."""
+    out = {}
+    for c in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):
         base, *marks = unicodedata.normalize("NFD", chr(c))
         if base in LOOK_ALIKES:
-            same = unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
-            if len(same) == 1:
-                pairs[chr(c)] = same
-    return "".join(pairs), "".join(pairs.values())
+            out[chr(c)] = unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
+    return out
 
 
 def _quoted(text: str) -> str:
@@ -59,7 +70,14 @@ def canonical_sql(column: str, source: str) -> str:
     for joined, letters in JOINED.items():
         text = f"replace({text}, {_quoted(joined)}, {_quoted(letters)})"
     old, new = _table()
-    return f"SELECT doc, nfc_normalize(translate(nfc_normalize({text}), {_quoted(old)}, {_quoted(new)})) AS canonical FROM {source}"
+    text = f"translate(nfc_normalize({text}), {_quoted(old)}, {_quoted(new)})"
+    # letters whose twin has no form with those accents in one character; few texts hold any
+    apart = {c: same for c, same in _accented().items() if len(same) > 1}
+    spread_out = "form"
+    for letter, same in apart.items():
+        spread_out = f"replace({spread_out}, {_quoted(letter)}, {_quoted(same)})"
+    some = f"CASE WHEN regexp_matches(form, '[{''.join(apart)}]') THEN {spread_out} ELSE form END"
+    return f"SELECT doc, nfc_normalize({some}) AS canonical FROM (SELECT doc, {text} AS form FROM {source})"
 
 
 def _run(sql: str):
