@@ -1,7 +1,9 @@
-"""Encoding of whole texts with a public byte-level BPE, by tree concatenation where a piece is long.
+"""Encoding of whole texts with a public byte-level BPE, by tree concatenation of long texts and long pieces.
 
-The pattern of the tokenizer cuts a text into pieces that never merge across. A piece longer than LEAF bytes is halved
-down to leaves, the halves are encoded side by side, and every join is repaired: a window of tokens around it is encoded
+A text longer than TEXT_LEAF characters is halved down to leaves, which are encoded side by side, wherever the cut falls;
+each join is repaired by encoding a window around it again, which grows outwards until it begins and ends where both
+sides have the same tokens. The pattern of the tokenizer cuts a text into pieces that never merge across. A piece longer
+than LEAF bytes is halved likewise down to leaves, the halves are encoded side by side, and every join is repaired: a window of tokens around it is encoded
 again and grows until its first token agrees with the left side and its last token with the right side. Two encodings
 that agree at both ends of such a window join to the encoding of the whole, as all neighbouring tokens are then pairs
 that the merges would leave alone.
@@ -11,7 +13,8 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -25,8 +28,8 @@ from .arrow import slices
 LEAF = 8192
 #: Tokens on each side of a join in the first window.
 REACH = 8
-#: Texts up to this many characters can hold no piece that is worth halving.
-SHORT = 8192
+#: Characters of a leaf of a long text.
+TEXT_LEAF = 1024
 DEFAULT_FOLDER = "/opt/tokenizers"
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -70,15 +73,58 @@ def encode_piece(enc, piece: bytes, leaf: int = LEAF, pool: ThreadPoolExecutor |
     return parts[0]
 
 
-def encode_text(enc, text: str, leaf: int = LEAF, pool: ThreadPoolExecutor | None = None, short: int = SHORT) -> list[int]:
-    if len(text) <= short:
-        return enc.encode_ordinary(text)
-    import regex
+#: Between a sign and white space every text is cut, as no piece holds white space after anything else.
+_CERTAIN = re.compile(r"(?<=\S)(?=\s)")
 
-    pieces = regex.findall(PATTERN, text)
-    if max(map(len, pieces)) <= leaf // 4:
-        return enc.encode_ordinary(text)
-    return [i for piece in pieces for i in encode_piece(enc, piece.encode(), leaf, pool)]
+
+def join_texts(enc, left: str, a: list[int], right: str, b: list[int], plain: Callable[[str], list[int]]) -> list[int]:
+    """The encoding of left + right, whose own encodings are a and b.
+
+    The window reaches from a certain cut in the left text to one in the right text; it is good if what lies outside it
+    is encoded alike with and without the part inside, else it grows to the next certain cuts.
+    """
+    reach = 64
+    while True:
+        near = [m.start() for m in _CERTAIN.finditer(left, max(0, len(left) - reach))]
+        far = [m.start() for m in _CERTAIN.finditer(right, 0, min(len(right), reach + 1)) if m.start()]
+        whole_left, whole_right = reach >= len(left), reach >= len(right)
+        at = 0 if whole_left else near[0] if near else -1
+        to = len(right) if whole_right else far[-1] if far else -1
+        if at >= 0 and to >= 0:
+            old_left, old_right = plain(left[at:]), plain(right[:to])
+            same_left = at == 0 or a[len(a) - len(old_left) :] == old_left
+            same_right = to == len(right) or b[: len(old_right)] == old_right
+            if same_left and same_right:
+                outer_left = a[: len(a) - len(old_left)] if at else []
+                outer_right = b[len(old_right) :] if to < len(right) else []
+                return outer_left + plain(left[at:] + right[:to]) + outer_right
+        reach *= 2
+
+
+def encode_text(enc, text: str, leaf: int = LEAF, pool: ThreadPoolExecutor | None = None, text_leaf: int = TEXT_LEAF) -> list[int]:
+    """Token ids of a whole text, without special tokens."""
+
+    def plain(part: str) -> list[int]:
+        if len(part) <= leaf // 4 or not _LONG_RUN.search(part):
+            return enc.encode_ordinary(part)
+        import regex
+
+        return [i for piece in regex.findall(PATTERN, part) for i in encode_piece(enc, piece.encode(), leaf, pool)]
+
+    if len(text) <= text_leaf:
+        return plain(text)
+    texts = [text[at : at + text_leaf] for at in range(0, len(text), text_leaf)]
+    lists = list((pool.map if pool else map)(plain, texts))
+    while len(texts) > 1:
+        joined = [join_texts(enc, texts[k], lists[k], texts[k + 1], lists[k + 1], plain) for k in range(0, len(texts) - 1, 2)]
+        odd = len(texts) % 2
+        lists = joined + (lists[-1:] if odd else [])
+        texts = ["".join(texts[k : k + 2]) for k in range(0, len(texts), 2)]
+    return lists[0]
+
+
+#: A stretch in which a piece longer than a quarter of LEAF can hide: of one kind, without white space inside, or white space only.
+_LONG_RUN = re.compile(rf"\S{{{LEAF // 4}}}|\s{{{LEAF // 4}}}")
 
 
 def _encode(path: str):
