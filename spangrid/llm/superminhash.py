@@ -16,15 +16,26 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SCALE = 1.0 / (1 << 32)
 
 
+#: Elements that walk together; bounds the memory of their permutations.
+TOGETHER = 1 << 16
+
+
 def signature(elements: np.ndarray, registers: int) -> np.ndarray:
     """Register values of a set of distinct 64-bit hashes; infinite where the set is empty."""
     values = np.full(registers, np.inf)
+    for at in range(0, len(elements), TOGETHER):
+        _walk(elements[at : at + TOGETHER], registers, values)
+    return values
+
+
+def _walk(elements: np.ndarray, registers: int, values: np.ndarray) -> None:
+    """Lower the register values by a part of a set; those of other parts already stop the walk."""
     n = len(elements)
-    if n == 0:
-        return values
     order = np.broadcast_to(np.arange(registers, dtype=np.int32), (n, registers)).copy()
     rows, state = np.arange(n), elements.copy()
     for step in range(registers):
+        if values.max() <= step:
+            break
         state = state + _STEP
         draw = mix(state)
         fraction = (draw >> np.uint64(32)).astype(np.float64) * _SCALE
@@ -32,9 +43,6 @@ def signature(elements: np.ndarray, registers: int) -> np.ndarray:
         visited = order[rows, pick]
         order[rows, pick] = order[:, step]
         np.minimum.at(values, visited, fraction + step)
-        if values.max() <= step + 1:
-            break
-    return values
 
 
 def band_keys(values: np.ndarray, rows: int) -> np.ndarray:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from spangrid.llm import canonical, chart, mixture, overlap, pieces, prose, provenance, shingles, superminhash, syntax, tokens
+from spangrid.llm import arrow, canonical, chart, mixture, overlap, pieces, prose, provenance, shingles, superminhash, syntax, tokens
 from spangrid.llm.lexers import blanked, extension
 
 # --- shingles, winnowing, signatures
@@ -108,7 +108,7 @@ def test_tree_concatenation_equals_direct_encoding(enc):
 def test_texts_with_and_without_long_pieces(enc):
     long = "x" * 5000 + " tail  \n\n" + "é" * 4000 + "   " + "=" * 9000 + "\n<|endoftext|> ok   "
     for text in ("", " ", "a b", "naïve  text\n\n end ", long, long * 3):
-        assert tokens.encode_text(enc, text, leaf=256, short=100) == enc.encode_ordinary(text)
+        assert tokens.encode_text(enc, text, leaf=256, text_leaf=20_000) == enc.encode_ordinary(text)
 
 
 def test_ids_agree_with_the_other_library(enc):
@@ -119,6 +119,29 @@ def test_ids_agree_with_the_other_library(enc):
         assert t.encode(text, add_special_tokens=False).ids == tokens.encode_text(enc, text)
 
 
+@pytest.mark.parametrize("leaf", [7, 64, 1024])
+def test_long_texts_are_joined_from_halves(enc, leaf):
+    rng = random.Random(leaf)
+    texts = ["", "word", " " * 3000, "x" * 5000, "a \n \n  b" * 400, "it'll we've" * 300, "é漢🍃" * 900, "end " + "y" * 9000 + " end" * 600]
+    texts += ["".join(rng.choice(["a", "B", " ", "  ", "\n", "7", "'s", ".", "é", "漢"]) for _ in range(rng.randint(1, 3000))) for _ in range(12)]
+    for text in texts:
+        assert tokens.encode_text(enc, text, text_leaf=leaf) == enc.encode_ordinary(text)
+
+
+def test_slices_bound_rows_and_bytes():
+    texts = ["x" * n for n in (10, 10, 5000, 10, 0, 3000)] + [None, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], ["k", "t"])
+    got = [s.column(0).to_pylist() for s in arrow.slices(iter([batch]), 3, 100)]
+    assert got == [[0, 1], [2], [3, 4], [5], [6, 7]] and list(arrow.slices(iter([batch.slice(0, 0)]))) == []
+
+
+def test_signature_in_parts_is_that_of_the_whole(monkeypatch):
+    x = np.random.default_rng(8).integers(0, 2**63, 3000, dtype=np.uint64)
+    whole = superminhash.signature(x, 64)
+    monkeypatch.setattr(superminhash, "TOGETHER", 100)
+    assert (superminhash.signature(x, 64) == whole).all()
+
+
 # --- mixture
 
 
@@ -159,6 +182,7 @@ def forms(texts):
     [
         ("ｆｏｏ（１）", "foo(1)"), ("ﬁne ﬀ", "fine ff"), ("cafe\u0301", "café"), ("a\u200bb\ufeff\u00ad\u2060c", "abc"), ("a\u00a0b\u2003c\u3000d", "a b c d"), ("раураl", "paypal"), ("ΑΒΕ", "ABE"), ("ё", "ë"),
         ("е\u0301", "é"), ("ab\u200dc\u200c", "abc"), ("Ο\u0301", "Ó"),
+        ("Г\u0301П", "Γ\u0301Π"), ("ὀ", "o\u0313"), ("Ὰ", "À"), ("ĳs ǉ", "ijs lj"), ("a\u2066b\u2069c\u061c", "abc"),
     ],
 )
 def test_same_look(a, b):
@@ -166,7 +190,7 @@ def test_same_look(a, b):
     assert x == y == unicodedata.normalize("NFC", b)
 
 
-@pytest.mark.parametrize("a, b", [("x²", "x2"), ("Ab", "ab"), ("é", "e"), ("👨\u200d👩\u200d👧", "👨👩👧"), ("⚠\ufe0f", "⚠"), ("Ⅳ", "IV"), ("⅓", "1/3"), ("𝒙", "x"), ("म\u094d\u200dन", "म\u094dन"), ("a\tb", "a b"), ("a  b", "a b"), ("к", "k")])
+@pytest.mark.parametrize("a, b", [("x²", "x2"), ("Ab", "ab"), ("é", "e"), ("👨\u200d👩\u200d👧", "👨👩👧"), ("⚠\ufe0f", "⚠"), ("Ⅳ", "IV"), ("⅓", "1/3"), ("𝒙", "x"), ("म\u094d\u200dन", "म\u094dन"), ("a\tb", "a b"), ("a  b", "a b"), ("к", "k"), ("a\u202ebc", "abc")])
 def test_other_look(a, b):
     x, y = forms([a, b])
     assert x != y
