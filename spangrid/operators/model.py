@@ -103,3 +103,19 @@ def scorer(model: dict[str, np.ndarray]):
         return pd.Series(list(forward(fixed, np.stack(features.to_numpy()).astype(np.float64))))
 
     return score
+
+
+def choice(models: dict[int, dict[str, np.ndarray]]):
+    """A vectorised function of a number and a feature column: the label that the classifier of that number gives, null
+    where there is none. The weights travel with the function."""
+
+    @pandas_udf("int")
+    def label(number: pd.Series, features: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(number), dtype="Int32")
+        for k in number.dropna().unique():
+            if int(k) in models:
+                at = np.flatnonzero((number == k).to_numpy())
+                out.iloc[at] = forward(models[int(k)], np.stack(features.iloc[at].to_numpy()).astype(np.float64)).argmax(axis=1)
+        return out
+
+    return label

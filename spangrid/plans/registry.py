@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import corpus_queries, more_queries, structure_queries, table_queries, text_queries  # noqa: F401
+    from . import corpus_queries, evaluation_queries, more_queries, structure_queries, table_queries, text_queries  # noqa: F401
 
 
 load()

@@ -160,26 +160,6 @@ def evl07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir, 0).select("doc_id", "boundary_id", "before", "after", "blank_lines", "crlf")
 
 
-@query("evl02_case_groups")
-def evl02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boundaries in groups of cases: by gap, by what the left line ends with and what the right line starts with."""
-    v = _vectors(spark, sf_dir)
-    at = lambda n: F.element_at("input", n + 1)
-    group = F.when(at(11) == 1, "before_closing").when(at(12) == 1, "after_opening").when(at(30) == 1, "after_closing").when(at(4) == 1, "same_indent").otherwise("other")
-    return v.groupBy(group.alias("case_group"), F.least("blank_lines", F.lit(2)).alias("gap")).agg(F.count("*").alias("n"))
-
-
-@query("evl05_style_groups")
-def evl05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected against given gaps of golden outputs, per extension, on boundaries that may change."""
-    g = table(spark, sf_dir, "golden_pairs").where("output_text IS NOT NULL")
-    v = features.boundary_vectors(g.select(F.col("case_id").alias("doc_id"), F.col("output_text").alias("text")))
-    named = g.select(F.col("case_id").alias("doc_id"), "ext")
-    guess = F.when(F.element_at("input", 31) == 1, 1).otherwise(0)
-    e = v.join(named, "doc_id")
-    return e.groupBy("ext").agg(F.count("*").alias("total"), F.count_if(F.least("blank_lines", F.lit(1)) == guess).alias("passed"))
-
-
 @query("src03_directory_walk")
 def src03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of a folder by a driver-side walk that keeps names with leading underscores and dots, read in tasks."""
@@ -231,13 +211,24 @@ def str02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.stale_counts(table(spark, sf_dir, "events"))
 
 
-@query("str03_debounce", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, count(DISTINCT session) AS sessions, count(*) AS n FROM s GROUP BY user_id")
+_HOLDS = "CASE event_type WHEN 'signup' THEN true WHEN 'purchase' THEN false END"
+
+
+@query("str03_debounce", f"WITH h AS (SELECT event_id, user_id, ts, last_value({_HOLDS} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS held, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM events WHERE user_id IS NOT NULL) SELECT event_id, user_id FROM h WHERE (until IS NULL OR until >= ts + INTERVAL 180 MILLISECONDS) AND NOT coalesce(held, false)")
 def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a pause of 180 ms follows, outside the stretches that one kind of event opens and another closes, as
+    an input method's composition does."""
+    holds = F.when(F.col("event_type") == "signup", True).when(F.col("event_type") == "purchase", False)
+    return streams.debounced(table(spark, sf_dir, "events").where("user_id IS NOT NULL"), "user_id", "ts", "180 MILLISECONDS", holds).select("event_id", "user_id")
+
+
+@query("str03_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 1800000000 THEN 0 ELSE 1 END AS fresh FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g) SELECT user_id, count(DISTINCT session) AS sessions, count(*) AS n FROM s GROUP BY user_id")
+def str03_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.sessions(table(spark, sf_dir, "events"), "30 minutes")
 
 
-@query("str05_incremental_format")
-def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("str01_latest_stream")
+def str01_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest request of each user by a real stream over the events' files: micro-batches merge into one state table."""
     return streams.run_latest(spark, f"{sf_dir}/events.parquet", shared_dir(spark))
 

@@ -124,20 +124,21 @@ def src17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("case_id", "split", "ext").join(o, "case_id", "left").groupBy("split", "ext").agg(F.count("*").alias("pairs"), F.count("output_text").alias("with_output"))
 
 
-PATCH_SQL = "'*** Add File: a/' || path || chr(10) || '+x' || chr(10) || '*** Update File: ' || path || chr(10) || '*** Move to: moved/' || path || chr(10) || '*** Update File: z/' || path"
+# an edit patch of each file: one added, one moved twice, one updated
+PATCH_SQL = "'*** Add File: a/' || path || chr(10) || '+x' || chr(10) || '*** Update File: ' || path || chr(10) || '*** Move to: moved/' || path || chr(10) || '*** Move to: again/' || path || chr(10) || '*** Update File: z/' || path"
 
 
 @query("src18_patch_paths", f"""WITH p AS (SELECT DISTINCT file_id, {PATCH_SQL} AS patch FROM source_files), l AS (SELECT file_id, unnest(string_split(patch, chr(10))) AS line, unnest(range(len(string_split(patch, chr(10))))) AS n FROM p),
 e AS (SELECT *, regexp_extract(line, '^\\*\\*\\* (Add File|Update File|Move to): (.*)$', 1) AS op, regexp_extract(line, '^\\*\\*\\* (Add File|Update File|Move to): (.*)$', 2) AS path FROM l),
-m AS (SELECT *, lead(op) OVER w AS next_op, lead(path) OVER w AS next_path FROM e WHERE op <> '' WINDOW w AS (PARTITION BY file_id ORDER BY n))
-SELECT DISTINCT file_id, CASE WHEN next_op = 'Move to' THEN next_path ELSE path END AS path FROM m WHERE op <> 'Move to'""")
+m AS (SELECT *, count(*) FILTER (op <> 'Move to') OVER (PARTITION BY file_id ORDER BY n) AS entry FROM e WHERE op <> '')
+SELECT file_id, arg_max(path, n) AS path FROM m WHERE entry > 0 GROUP BY file_id, entry""")
 def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed paths of patches; a move gives the file of the line before it a new name."""
     from ..sources.patches import changed_paths
 
-    patch = F.concat(F.lit("*** Add File: a/"), "path", F.lit("\n+x\n*** Update File: "), "path", F.lit("\n*** Move to: moved/"), "path", F.lit("\n*** Update File: z/"), "path")
+    patch = F.concat(F.lit("*** Add File: a/"), "path", F.lit("\n+x\n*** Update File: "), "path", F.lit("\n*** Move to: moved/"), "path", F.lit("\n*** Move to: again/"), "path", F.lit("\n*** Update File: z/"), "path")
     p = table(spark, sf_dir, "source_files").select("file_id", patch.alias("patch")).distinct()
-    return p.select("file_id", F.explode(changed_paths(F.col("patch"))).alias("path")).distinct()
+    return p.select("file_id", F.explode(changed_paths(F.col("patch"))).alias("path"))
 
 
 # --- filters on rows
@@ -274,16 +275,6 @@ def jon06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).join(c, "file_id", "left_semi").agg(F.count("*").alias("n"))
 
 
-@query("jon08_containment", "WITH t AS (SELECT DISTINCT file_id, content FROM source_files WHERE split IN ('train', 'style_train') AND content IS NOT NULL), l AS (SELECT file_id, trim(unnest(string_split(content, chr(10))), chr(32) || chr(9) || chr(13)) AS line FROM t), g AS (SELECT case_id, trim(unnest(string_split(input_text, chr(10))), chr(32) || chr(9) || chr(13)) AS line FROM golden_pairs) SELECT g.case_id, count(DISTINCT g.line) AS shared_lines FROM g JOIN l ON l.line = g.line WHERE length(g.line) >= 30 GROUP BY g.case_id")
-def jon08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contamination of golden cases: long lines that some training file holds too, as an equality join on the line."""
-    f = table(spark, sf_dir, "source_files").where("split IN ('train', 'style_train') AND content IS NOT NULL")
-    g = table(spark, sf_dir, "golden_pairs").select("case_id", F.explode(F.split("input_text", "\n", -1)).alias("raw"))
-    line = F.btrim(F.col("raw"), F.lit(" \t\r")).alias("line")
-    held = f.select(F.explode(F.split("content", "\n", -1)).alias("raw")).select(line).where("length(line) >= 30")
-    return g.select("case_id", line).where("length(line) >= 30").distinct().join(held, "line", "left_semi").groupBy("case_id").agg(F.count("*").alias("shared_lines"))
-
-
 @query("jon09_expected_outputs", "SELECT case_id, strlen(input_text) AS input_bytes, strlen(output_text) AS output_bytes FROM golden_pairs WHERE output_text IS NOT NULL")
 def jon09(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "golden_pairs")
@@ -389,23 +380,12 @@ def agg09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.agg(F.count("*").alias("rows"), F.count_if(F.col("prediction") == F.col("gap_label")).alias("siblings"), F.count_if(F.col("confidence").isNull()).alias("unclassified"), F.count_if(F.col("prediction") != F.col("gap_label")).alias("changed"))
 
 
-@query("agg10_style_counts", f"WITH {SCORED_SQL} SELECT count(*) AS total, count(*) FILTER (gap_label = prediction) AS passed, count(*) FILTER (gap_label > 0 AND prediction > 0) AS required_gap, count(*) FILTER (gap_label = 0 AND prediction = 0) AS continuity FROM s")
-def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t, p = F.col("gap_label"), F.col("prediction")
-    return scored(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(t == p).alias("passed"), F.count_if((t > 0) & (p > 0)).alias("required_gap"), F.count_if((t == 0) & (p == 0)).alias("continuity"))
-
-
 @query("agg11_groups", f"WITH {SCORED_SQL} SELECT CASE WHEN boundary_id < 10 THEN 'head' ELSE 'body' END AS scope, language_id AS name, count(*) AS total, count(*) FILTER (gap_label = prediction) AS passed FROM s GROUP BY ALL")
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
     scope = F.when(F.col("boundary_id") < 10, "head").otherwise("body")
     return scored(spark, sf_dir).groupBy(scope.alias("scope"), F.col("language_id").alias("name")).agg(F.count("*").alias("total"), F.count_if(F.col("gap_label") == F.col("prediction")).alias("passed"))
 
 
-@query("agg12_split_sums", "SELECT split, count(*) AS cases, count(*) FILTER (input_text = output_text) AS exact FROM golden_pairs GROUP BY split")
-def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "golden_pairs").groupBy("split").agg(F.count("*").alias("cases"), F.count_if(F.col("input_text") == F.col("output_text")).alias("exact"))
-
-
 @query("agg13_distinct_paths", "SELECT repository, count(DISTINCT path) AS paths FROM source_files GROUP BY repository")
 def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "source_files").select("repository", "path").distinct().groupBy("repository").agg(F.count("path").alias("paths"))
@@ -493,24 +473,16 @@ def srt07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("language_id", F.least("n", F.lit(30)).alias("cases"), (F.col("n") >= 30).alias("complete"))
 
 
-_EPOCHS = "SELECT language_id AS run, CAST(floor(epoch_ms(labeled_at) / 86400000) AS BIGINT) AS epoch, CAST(sum(CAST(round(confidence * 1000000) AS BIGINT)) AS DOUBLE) / count(*) AS score FROM b WHERE confidence IS NOT NULL AND labeled_at IS NOT NULL GROUP BY ALL"
-
-
-@query("win09_running_best", f"WITH {ROWS_SQL}, e AS ({_EPOCHS}) SELECT run, epoch, round(max(score) OVER (PARTITION BY run ORDER BY epoch), 3) AS best FROM e")
-def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best score so far of each run by day, in millionths, from whole numbers so that the order of rows plays no part."""
-    day = F.floor(F.unix_millis(F.col("labeled_at").cast("timestamp")) / 86_400_000)
-    b = rows(spark, sf_dir).where("confidence IS NOT NULL AND labeled_at IS NOT NULL")
-    score = F.sum(F.round(F.col("confidence") * 1_000_000).cast("long")).cast("double") / F.count("*")
-    e = b.groupBy(F.col("language_id").alias("run"), day.alias("epoch")).agg(score.alias("score"))
-    return e.select("run", "epoch", F.round(F.max("score").over(Window.partitionBy("run").orderBy("epoch")), 3).alias("best"))
+_MOVES = "e AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_type IN ('signup', 'click', 'view') THEN 'entry' ELSE 'move' END AS op FROM events WHERE user_id IS NOT NULL), m AS (SELECT *, count(*) FILTER (op = 'entry') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS entry FROM e)"
 
 
-@query("win10_move_rewrites", "SELECT file_id, path, lead(path) OVER (PARTITION BY repository ORDER BY path, file_id) AS next_path FROM (SELECT DISTINCT file_id, repository, path FROM source_files WHERE repository IS NOT NULL)")
+@query("win10_last_names", f"WITH {_MOVES} SELECT user_id, entry, arg_max(event_type, (ts, event_id)) AS name FROM m WHERE entry > 0 GROUP BY user_id, entry")
 def win10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("repository").orderBy("path", "file_id")
-    p = table(spark, sf_dir, "source_files").where("repository IS NOT NULL").select("file_id", "repository", "path").distinct()
-    return p.select("file_id", "path", F.lead("path").over(w).alias("next_path"))
+    """The name that each entry of a log has at last, where rows of another kind rename the entry before them: a running
+    count of entries, then the newest row of each. src18 does so within one patch."""
+    e = table(spark, sf_dir, "events").where("user_id IS NOT NULL").withColumn("entry_row", F.col("event_type").isin("signup", "click", "view").cast("int"))
+    m = e.withColumn("entry", F.sum("entry_row").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    return m.where("entry > 0").groupBy("user_id", "entry").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("name"))
 
 
 @query("srt01_path_order", "SELECT path, row_number() OVER (ORDER BY path) AS rank FROM (SELECT DISTINCT path FROM source_files)")
@@ -697,13 +669,6 @@ def trn05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("trn10_regression_gate", "SELECT split, bool_and(output_text IS NOT NULL) AS all_present, bool_and(coalesce(replace(replace(input_text, chr(10), ''), chr(13), '') = replace(replace(output_text, chr(10), ''), chr(13), ''), false)) AS all_preserved FROM golden_pairs GROUP BY split")
-def trn10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = lambda c: F.replace(F.replace(c, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))
-    same = F.coalesce(flat("input_text") == flat("output_text"), F.lit(False))
-    return table(spark, sf_dir, "golden_pairs").groupBy("split").agg(F.bool_and(F.col("output_text").isNotNull()).alias("all_present"), F.bool_and(same).alias("all_preserved"))
-
-
 @query("evl01_golden_regression", f"""WITH g AS (SELECT split, ext, input_text, output_text, string_split(input_text, chr(10)) AS ip, string_split(output_text, chr(10)) AS op FROM golden_pairs WHERE output_text IS NOT NULL),
 h AS (SELECT *, list_transform({_GAPS.format(p='ip')}, lambda x: trim(x[2], chr(32) || chr(9) || chr(13))) AS iv, list_transform({_GAPS.format(p='op')}, lambda x: trim(x[2], chr(32) || chr(9) || chr(13))) AS ov FROM g)
 SELECT split, ext, count(*) AS cases, count(*) FILTER (input_text = output_text) AS exact, count(*) FILTER (iv = ov) AS preserved, CAST(sum(len(ov)) AS BIGINT) AS lines FROM h GROUP BY ALL""")
@@ -714,37 +679,11 @@ def evl01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("split", "ext").agg(F.count("*").alias("cases"), F.count_if(F.col("input_text") == F.col("output_text")).alias("exact"), F.count_if(F.col("iv") == F.col("ov")).alias("preserved"), F.sum(F.size("ov")).alias("lines"))
 
 
-_FOUR = f"WITH {LOGITS_SQL}, u AS (SELECT gap_label, unnest(['raw', 'thresholded', 'unchanged']) AS method, unnest([{_ARG_SQL}, CASE WHEN {_TOP_SQL} < 0.5 THEN 0 ELSE {_ARG_SQL} END, 0]) AS prediction FROM r)"
-
-
-@query("evl03_methods", _FOUR + f" SELECT method, {_CELLS} FROM u GROUP BY method")
-def evl03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three ways to decide, in one pass."""
-    z = logits(spark, sf_dir)
-    guess = metrics.argmax(F.col("logits"))
-    each = F.array(
-        F.struct(F.lit("raw").alias("method"), guess.alias("prediction")),
-        F.struct(F.lit("thresholded").alias("method"), F.when(F.array_max(metrics.softmax(F.col("logits"))) < 0.5, 0).otherwise(guess).alias("prediction")),
-        F.struct(F.lit("unchanged").alias("method"), F.lit(0).alias("prediction")),
-    )
-    return metrics.confusion(z.select("gap_label", F.inline(each)), "gap_label", "prediction", "method")
-
-
 @query("evl04_seen_unseen", f"WITH {SCORED_SQL} SELECT language_id >= 6 AS unseen, {_CELLS} FROM s GROUP BY ALL")
 def evl04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.confusion(scored(spark, sf_dir).withColumn("unseen", F.col("language_id") >= 6), "gap_label", "prediction", "unseen")
 
 
-@query("evl06_transfer", f"WITH {SCORED_SQL} SELECT language_id AS held_out, {_CELLS} FROM s GROUP BY language_id")
-def evl06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.confusion(scored(spark, sf_dir).withColumnRenamed("language_id", "held_out"), "gap_label", "prediction", "held_out")
-
-
-@query("evl09_sample_checks", "SELECT split, count(*) AS cases, count(DISTINCT input_text) AS distinct_inputs, count(*) FILTER (contains(input_text, chr(13))) AS with_cr FROM golden_pairs GROUP BY split")
-def evl09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "golden_pairs").groupBy("split").agg(F.count("*").alias("cases"), F.countDistinct("input_text").alias("distinct_inputs"), F.count_if(F.col("input_text").contains("\r")).alias("with_cr"))
-
-
 @query("evl10_parity", f"WITH {LOGITS_SQL} SELECT count(*) AS n, true AS all_labels_equal, true AS within_tolerance FROM r")
 def evl10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two ways to the probabilities agree: expressions and NumPy in Arrow batches."""

@@ -338,18 +338,22 @@ RULE_SQL = f"""CASE WHEN substr(rv, 1, 1) IN ('}}', ')', ']') OR suffix(lv, '{{'
   WHEN {FIRST_WORD.format(v='lv')} = {FIRST_WORD.format(v='rv')} THEN 0 WHEN suffix(lv, '}}') AND li = ri THEN 1 WHEN ri = 0 AND li > 0 THEN 1 ELSE 0 END"""
 
 
-def rule() -> Column:
-    """0 or 1 by six ordered conditions; a comment is taken by its prefix."""
+def rule_of(lv: Column, rv: Column, li: Column, ri: Column) -> Column:
+    """0 or 1 by six ordered conditions over two lines and their indents; a comment is taken by its prefix."""
     return (
-        F.when(F.substring("rv", 1, 1).isin("}", ")", "]") | F.col("lv").endswith("{") | F.col("lv").endswith(":"), 0)
-        .when(F.col("rv").startswith("//") | F.col("rv").startswith("#"), 1)
-        .when(lexing.first_word(F.col("lv")) == lexing.first_word(F.col("rv")), 0)
-        .when(F.col("lv").endswith("}") & (F.col("li") == F.col("ri")), 1)
-        .when((F.col("ri") == 0) & (F.col("li") > 0), 1)
+        F.when(F.substring(rv, 1, 1).isin("}", ")", "]") | lv.endswith("{") | lv.endswith(":"), 0)
+        .when(rv.startswith("//") | rv.startswith("#"), 1)
+        .when(lexing.first_word(lv) == lexing.first_word(rv), 0)
+        .when(lv.endswith("}") & (li == ri), 1)
+        .when((ri == 0) & (li > 0), 1)
         .otherwise(0)
     )
 
 
+def rule() -> Column:
+    return rule_of(*map(F.col, ("lv", "rv", "li", "ri")))
+
+
 @query("mod12_rule", f"WITH {BOUNDS} SELECT blank_lines, {RULE_SQL} AS prediction, count(*) AS n FROM bounds GROUP BY ALL")
 def mod12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounds(spark, sf_dir).groupBy(F.col("blank_lines").cast("long").alias("blank_lines"), rule().alias("prediction")).agg(F.count("*").alias("n"))

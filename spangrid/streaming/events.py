@@ -3,7 +3,7 @@ as they arrive. Each is a plain transformation that a batch and a stream share."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import new_folder
@@ -75,3 +75,20 @@ def run_format(spark: SparkSession, path: str, shared: str) -> DataFrame:
 def windowed_counts(events: DataFrame, window: str = "10 minutes", late: str = "5 minutes") -> DataFrame:
     """Counts per window and type for streams with late rows: rows older than the watermark are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+
+
+def fifo(requests: DataFrame, key: str, order: list[str], succeeds: Column) -> DataFrame:
+    """Adds place, ok and done: a key's requests in order, whether each succeeds, and how many have so far. A failure is a
+    row's own; it neither stops nor delays the rows behind it."""
+    w = Window.partitionBy(key).orderBy(*order)
+    placed = requests.withColumns({"place": F.row_number().over(w).cast("long"), "ok": succeeds})
+    return placed.withColumn("done", F.count_if("ok").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def debounced(events: DataFrame, key: str, time: str, pause: str, holds: Column) -> DataFrame:
+    """Rows after which the key is quiet for `pause`, and which stand outside a hold: a row with `holds` true begins one,
+    false ends it, null leaves it as it is. The row that ends a hold can fire."""
+    w = Window.partitionBy(key).orderBy(time, "event_id")
+    marked = events.withColumn("held", F.last(holds, ignorenulls=True).over(w)).withColumn("until", F.lead(time).over(w))
+    quiet = F.col("until").isNull() | (F.col("until") >= F.col(time) + F.expr(f"INTERVAL {pause}"))
+    return marked.where(quiet & ~F.coalesce("held", F.lit(False))).drop("held", "until")
