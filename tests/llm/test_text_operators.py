@@ -419,3 +419,75 @@ def test_notes_anywhere_in_a_file():
     for note in ("mirrored from foo 1.2", "local patches are kept"):
         assert provenance.note_signal("java", f"// {note}\nclass A {{}}\n") == "vendored", note
     assert provenance.content_signal("js", "<!-- " + "word " * 200 + "-->\n<!-- b -->\n<div>\n</div>\n") == "page"
+
+
+# notes in words that no sample table has; what is told apart is said in the pattern, not where it stands
+TOLD = """Emitted from schema.idl; your changes vanish on the next build.
+Vendor drop of libfoo 2.3
+a nightly job puts it here
+Compiled with rulec from rules.peg, please don't touch by hand.
+This module is produced by the codegen step.
+The exporter rewrites this file every night.
+Hand edits get lost, change the template instead.
+Your edits will be overwritten the next time the build runs.
+Rendered from page.tmpl
+DO NOT EDIT.
+This whole file was written by a script from the wiki tables.
+Not meant to be edited; see gen/.
+Any tweaks here disappear when the tables are regenerated.
+Regenerate with: make tables
+The source of truth lives in the schema repository.
+Machine-written code
+The build clobbers local changes on every run.
+Scaffolded by newproj from the default layout
+Verbatim copy of tinyjson 0.9.1
+Lifted unchanged from the quickmath sources
+Pulled from https://code.example.org/x/y unchanged
+Forked from upstream fastmap, see there for history
+Report issues upstream, not to us.
+Bundled snapshot of minilog
+Third-party code, not ours
+Imported from parselib 4.2, see NOTICE
+The sync bot mirrors this file hourly.
+Vendored, version 3.1
+Downloaded from zipkit v1.8 without any changes""".splitlines()
+UNTOLD = """Do not edit the row after it was sealed.
+The generated id is stored with the token.
+Auto-generated keys are returned by the driver.
+Edits are lost when the window closes.
+Changes to the config are picked up at once.
+Never change the order of these fields.
+Generates the file name from the title.
+Created by the caller and handed to the worker.
+Written by hand because the generator is slow here.
+Values taken from table 4 of the report.
+Copied from the input buffer into the output.
+The upstream server may be slow to answer.
+Returns a copy of the list.
+This file may be copied under the terms of the license.
+Builds the tree from the tokens.
+A third party may call this at any time.
+The import script must run first.
+The snapshot is taken before the write.
+Mirrors the behaviour of the old parser.
+The origin of the coordinate system is top left.
+Regenerates the session token for a user.
+The tool prints a line for each file.
+The job is done when the queue is empty.
+Overwrites the file if it exists.
+We build the index from scratch.
+Manual override of the limit.
+It is created automatically when the first row arrives.
+Run this again after a failure.
+Synced to disk once a second.
+Derived from the base class""".splitlines()
+
+
+def test_notes_in_other_words():
+    filler = "".join(f"x{k} = {k}\n" for k in range(900))
+    for at in (lambda note: f"# {note}\n{filler}", lambda note: f"{filler}# {note}\n{filler}", lambda note: f"{filler}\n# {note}"):
+        told = [bool(provenance.note_signal("py", at(n))) for n in TOLD]
+        untold = [bool(provenance.note_signal("py", at(n))) for n in UNTOLD]
+        missed, wrong = [n for n, x in zip(TOLD, told) if not x], [n for n, x in zip(UNTOLD, untold) if x]
+        assert len(missed) <= 1 and len(wrong) <= 2, (missed, wrong)
+    assert provenance.note_signal("py", "a = 1  # Vendored, version 3.1\n") == ""
