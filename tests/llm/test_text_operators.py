@@ -491,3 +491,24 @@ def test_notes_in_other_words():
         missed, wrong = [n for n, x in zip(TOLD, told) if not x], [n for n, x in zip(UNTOLD, untold) if x]
         assert len(missed) <= 1 and len(wrong) <= 2, (missed, wrong)
     assert provenance.note_signal("py", "a = 1  # Vendored, version 3.1\n") == ""
+
+
+def test_repairs_cover_all_failing_parts_at_any_length():
+    cases = {"js": ("f({x});\n", "f(1 2);\n"), "java": ("class A {{ int f = {x}; }}\n", "class A {{ int f = 1 2; }}\n"), "go": ("package a\nvar b = {x}\n", "package a\nvar b = 1 2\n")}
+    for ext, (good, bad) in cases.items():
+        for n in (3, 40, 400):
+            terms = [f"v{k}" for k in range(n)]
+            frame = good.replace("{{", "{").replace("}}", "}")
+            assert syntax.judge(ext, frame.replace("{x}", " + ".join(terms))).valid
+            for at in (0, n // 2, n - 1):
+                broken = [*terms[:at], f"{terms[at]} 7", *terms[at + 1 :]]
+                verdict = syntax.judge(ext, frame.replace("{x}", " + ".join(broken)))
+                assert not verdict.valid and verdict.cost >= 1, (ext, n, at)
+        one = syntax.judge(ext, bad.replace("{{", "{").replace("}}", "}"))
+        assert not one.valid
+    two = syntax.judge("js", "const a = => 1;\ng();\nlet b = => 3;\n")
+    assert two.cause == "broken" and two.cost == 2
+    assert syntax.judge("js", "f();\ng(1, {\n").cause == "truncation"
+    marked = syntax.judge("rs", "fn a() {\n    vec![\n<<<<<<< ours\n1\n=======\n2\n>>>>>>> theirs\n]\n    let x 1;\n}\n")
+    assert marked.cause == "conflict"
+    assert syntax.judge("js", "def f(x):\n    return x\n").cause == "mismatch"
