@@ -33,7 +33,8 @@ def formatted(documents: DataFrame, text: str, out: str, decide: Callable[[Colum
 def shape_of(text: str) -> Column:
     """(value, gap after it) of every nonblank line; the last gap is null."""
     spots = F.filter(layout.line_structs(text), lambda x: ~x["blank"])
-    return F.transform(spots, lambda x, i: F.struct(x["value"].alias("value"), (F.get(spots, i + 1)["line_no"] - x["line_no"] - 1).alias("gap"), x["line_no"].alias("line_no")))
+    after = F.slice(spots, F.lit(2), F.greatest(F.size(spots) - 1, F.lit(0)))
+    return F.zip_with(spots, after, lambda x, y: F.struct(x["value"].alias("value"), (y["line_no"] - x["line_no"] - 1).alias("gap"), x["line_no"].alias("line_no")))
 
 
 def regression(cases: DataFrame, actual: str, repeated: str, source: str, expected: str, *keep: str) -> DataFrame:

@@ -6,21 +6,46 @@ has no line. A line is blank when only spaces, tabs and CR are in it. Offsets an
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 BLANKS = r"' \t\r'"
 
 
+#: File ids that may be delivered repeatedly for their numbers to be broadcast, at 16 bytes each.
+REPEATED = 2_000_000
+
+
 def first_delivery(files: DataFrame) -> DataFrame:
     """Each file once, as it came first; rows without content are left out.
 
-    Dealt by file into as many partitions as the session shuffles into: the window needs that deal anyway, and the
-    Python operators behind it keep all cores busy, where the adaptive planner would join small partitions.
+    Which ids came repeatedly, and which row of each came first, is found on narrow columns. As long as those are few
+    their places are broadcast and the scan drops the other rows, so no text is shuffled; beyond, and where rows have no
+    place in a file, files are dealt by id.
     """
     order = Window.partitionBy("file_id").orderBy("ingested_at")
-    files = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
-    return files.withColumn("rn", F.row_number().over(order)).where("rn = 1 AND content IS NOT NULL").drop("rn").withColumnsRenamed({"file_id": "doc_id", "content": "text"})
+    places = _repeated_places(files)
+    if places is None:
+        dealt = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file_id")
+        kept = dealt.withColumn("rn", F.row_number().over(order)).where("rn = 1 AND content IS NOT NULL").drop("rn")
+    else:
+        here = files.withColumn("place", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+        kept = spread(here.join(F.broadcast(places), F.col("file_id") == F.col("repeated_id"), "left").where("content IS NOT NULL AND (repeated_id IS NULL OR place = first_place)").drop("place", "repeated_id", "first_place"))
+    return kept.withColumnsRenamed({"file_id": "doc_id", "content": "text"})
+
+
+def _repeated_places(files: DataFrame) -> DataFrame | None:
+    """(repeated_id, first_place) of ids with several rows; None if they are too many, or rows have no place."""
+    try:
+        narrow = files.select("file_id", F.struct("ingested_at", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("place")).alias("at"))
+    except AnalysisException:
+        return None
+    several = narrow.groupBy("file_id").agg(F.count("*").alias("n"), F.min("at").alias("at")).where("n > 1 AND file_id IS NOT NULL")
+    places = several.select(F.col("file_id").alias("repeated_id"), F.col("at.place").alias("first_place"))
+    return places if places.count() <= REPEATED else None
 
 
 def pieces(text: str = "text") -> Column:

@@ -41,6 +41,24 @@ def gradients(model: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight
     return loss, {"w1": x.T @ back, "b1": back.sum(axis=0), "w2": hidden.T @ d, "b2": d.sum(axis=0)}
 
 
+def adamw(model: dict[str, np.ndarray], grads: dict[str, np.ndarray], moments: dict | None, rate: float, decay: float = 0.0) -> tuple[dict[str, np.ndarray], dict]:
+    """(weights, moments) after one step; moments of None begin."""
+    zeros = {k: np.zeros_like(a) for k, a in model.items()}
+    old = moments or {"m": zeros, "v": zeros, "t": 0}
+    t = old["t"] + 1
+    m = {k: 0.9 * old["m"][k] + 0.1 * grads[k] for k in model}
+    v = {k: 0.999 * old["v"][k] + 0.001 * grads[k] ** 2 for k in model}
+    step = {k: rate * ((m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * model[k]) for k in model}
+    return {k: model[k] - step[k] for k in model}, {"m": m, "v": v, "t": t}
+
+
+def dropped(x: np.ndarray, channels: slice, share: float, rng: np.random.Generator) -> np.ndarray:
+    """The vectors with a share of some channels blanked and what is left of those scaled up."""
+    out = x.copy()
+    out[:, channels] *= (rng.random(out[:, channels].shape) >= share) / (1 - share)
+    return out
+
+
 def train(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 3e-3, seed: int = 7, drop: tuple[slice, float] | None = None, patience: int = 5, model: dict[str, np.ndarray] | None = None) -> tuple[dict[str, np.ndarray], list[float]]:
     """AdamW without decay on a sample drawn evenly over groups (languages), with early stopping on the loss.
 
@@ -53,25 +71,18 @@ def train(x: np.ndarray, labels: np.ndarray, groups: np.ndarray, epochs: int = 1
     counts = np.bincount(labels, minlength=CLASSES)
     weights = np.minimum(3, np.sqrt(len(labels) / (3 * np.maximum(counts, 1))))[labels]
     pools = [np.flatnonzero(groups == g) for g in np.unique(groups)]
-    m, v = ({k: np.zeros_like(a) for k, a in model.items()} for _ in range(2))
-    best, best_loss, waited, history, t = model, np.inf, 0, [], 0
+    moments = None
+    best, best_loss, waited, history = model, np.inf, 0, []
     for _ in range(epochs):
         losses = []
         for _ in range(max(1, len(x) // batch)):
             pick = np.array([rng.choice(pools[g]) for g in rng.integers(len(pools), size=batch)])
             xs = x[pick]
             if drop:
-                keep = rng.random((batch, xs[:, drop[0]].shape[1])) >= drop[1]
-                xs = xs.copy()
-                xs[:, drop[0]] *= keep / (1 - drop[1])
+                xs = dropped(xs, *drop, rng)
             loss, g = gradients(model, xs, onehot[pick], weights[pick])
             losses.append(loss)
-            t += 1
-            model = dict(model)
-            for k in model:
-                m[k] = 0.9 * m[k] + 0.1 * g[k]
-                v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-                model[k] = model[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+            model, moments = adamw(model, g, moments, rate)
         history.append(float(np.mean(losses)))
         if history[-1] < best_loss - 1e-4:
             best, best_loss, waited = model, history[-1], 0
@@ -105,6 +116,23 @@ def scorer(model: dict[str, np.ndarray]):
     return score
 
 
+def padded_scorer(model: dict[str, np.ndarray], batch: int):
+    """scorer() in batches of a fixed size, the last filled up with zeros."""
+    fixed = {k: np.asarray(v, dtype=np.float64) for k, v in model.items()}
+
+    @pandas_udf("array<double>")
+    def score(features: pd.Series) -> pd.Series:
+        out: list[np.ndarray] = []
+        for at in range(0, len(features), batch):
+            part = np.stack(features.iloc[at : at + batch].to_numpy()).astype(np.float64)
+            full = np.zeros((batch, part.shape[1]))
+            full[: len(part)] = part
+            out += list(forward(fixed, full)[: len(part)])
+        return pd.Series(out, dtype=object)
+
+    return score
+
+
 def choice(models: dict[int, dict[str, np.ndarray]]):
     """A vectorised function of a number and a feature column: the label that the classifier of that number gives, null
     where there is none. The weights travel with the function."""

@@ -174,7 +174,9 @@ def cor08(spark: SparkSession, sf_dir: str) -> DataFrame:
     (parse failure, a tree that changes with the gaps) are cor11 to cor13.
     """
     d = layout.with_nonblank(docs(spark, sf_dir))
-    close = F.expr("size(filter(IF(size(nb) < 2, array(), sequence(1, size(nb) - 1)), k -> nb[k].line_no - nb[k - 1].line_no <= 3))")
+    # lambdas see elements only, as a filter that is pushed down would work out a whole array anew for each of them
+    spots = F.transform("nb", lambda x: x["line_no"])
+    close = F.size(F.filter(F.zip_with(spots, F.slice(spots, F.lit(2), F.greatest(F.size(spots) - 1, F.lit(0))), lambda a, b: b - a), lambda gap: gap <= 3))
     d = d.select("doc_id", "split", "text", has_header_mark(F.col("text")).alias("tool"), (close < 3).alias("few"))
     passed = ~F.col("tool") & ~F.col("few") & (F.coalesce("split", F.lit("")) != "rejected")
     p = materialise(corpus.fingerprints(d.where(passed), "split"))

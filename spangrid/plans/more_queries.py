@@ -239,3 +239,149 @@ def trn04(spark: SparkSession, sf_dir: str) -> DataFrame:
         same = np.mean(model.forward(student, x).argmax(1) == soft.argmax(1))
         out.append((epoch, round(float(same), 4)))
     return spark.createDataFrame(out, "epoch int, agreement double")
+
+
+# --- steps of the classifier and its files, each against what defines it
+
+
+@query("mod06_initial_weights")
+def mod06(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per layer of new weights: whether all lie within the Xavier bound, fill it, and biases are zero."""
+    import numpy as np
+
+    rows = []
+    for seed in (1, 2, 3):
+        m = model.initial(seed)
+        for name in ("1", "2"):
+            w, bound = m[f"w{name}"], np.sqrt(6 / sum(m[f"w{name}"].shape))
+            rows.append((seed, name, bool((abs(w) <= bound).all()), bool(abs(w).max() > 0.9 * bound), bool((m[f"b{name}"] == 0).all())))
+    return spark.createDataFrame(rows, "seed int, layer string, within boolean, filled boolean, zero_bias boolean")
+
+
+@query("mod07_batched_scores")
+def mod07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all boundaries by scores in batches of 256 with a padded last one, and how many differ from unbatched ones."""
+    weights = model.initial(5)
+    v = _vectors(spark, sf_dir).select(model.scorer(weights)("input").alias("plain"), model.padded_scorer(weights, 256)("input").alias("padded"))
+    off = F.array_max(F.transform(F.arrays_zip("plain", "padded"), lambda x: F.abs(x["plain"] - x["padded"])))
+    return v.select(metrics.argmax(F.col("padded")).alias("label"), (off > 1e-9).alias("off")).groupBy("label").agg(F.count("*").alias("n"), F.count_if("off").alias("differ"))
+
+
+@query("trn02_adamw_step")
+def trn02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first step of the optimiser moves every weight with a gradient by the learning rate against its sign."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(64, model.INPUTS)), rng.integers(0, 3, 64)
+    before = model.initial(4)
+    step, moments = model.adamw(before, model.gradients(before, x, np.eye(3)[y])[1], None, rate=3e-3)
+    moved = {k: before[k] - step[k] for k in step}
+    rows = [(k, float(np.abs(v).max()), bool((np.abs(np.abs(v[moments["v"][k] > 1e-12]) - 3e-3) < 1e-5).all())) for k, v in moved.items()]
+    return spark.createDataFrame([(k, round(a, 6), ok) for k, a, ok in rows], "weights string, largest double, by_rate boolean")
+
+
+@query("trn03_token_dropout")
+def trn03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dropout on the channels of words: the share blanked, whether the rest is scaled up, and other channels untouched."""
+    import numpy as np
+
+    x = np.ones((2000, model.INPUTS))
+    out = model.dropped(x, slice(32, 128), 0.1, np.random.default_rng(6))
+    inside, rest = out[:, 32:128], np.delete(out, range(32, 128), axis=1)
+    return spark.createDataFrame([(round(float((inside == 0).mean()), 2), bool(np.allclose(inside[inside != 0], 1 / 0.9)), bool((rest == 1).all()))], "blanked double, scaled boolean, rest_kept boolean")
+
+
+@query("trn07_gradient_check")
+def trn07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradients against differences of the loss, on a bounded sample of boundaries."""
+    import numpy as np
+
+    x, y, _ = _sample(spark, sf_dir, 8)
+    if not len(x):
+        return spark.createDataFrame([], "weights string, within boolean")
+    m, soft = model.initial(2), np.eye(3)[y]
+    grads, rng, rows = model.gradients(m, x, soft)[1], np.random.default_rng(1), []
+    for k in m:
+        worst = 0.0
+        for _ in range(20):
+            at = tuple(int(rng.integers(n)) for n in m[k].shape)
+            up, down = ({**m, k: m[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            slope = (model.gradients(up, x, soft)[0] - model.gradients(down, x, soft)[0]) / 2e-5
+            worst = max(worst, abs(slope - grads[k][at]))
+        rows.append((k, bool(worst <= 0.002)))
+    return spark.createDataFrame(rows, "weights string, within boolean")
+
+
+@query("src19_weights_reader")
+def src19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the reader of weights takes and refuses: a whole file, one cut short, a changed byte, another version."""
+    import hashlib
+
+    from ..sources.weights import decode, encode
+
+    whole = encode(model.initial(3))
+    other = whole[:20] + b"\x07\0\0\0" + whole[24:-32]
+    rows = []
+    for name, data in (("whole", whole), ("cut", whole[:-1]), ("changed", whole[:100] + bytes([whole[100] ^ 1]) + whole[101:]), ("version", other + hashlib.sha256(other).digest()), ("empty", b"")):
+        try:
+            rows.append((name, sorted(decode(data)) == ["b1", "b2", "w1", "w2"]))
+        except ValueError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "file string, taken boolean")
+
+
+@query("snk07_gguf_tensors")
+def snk07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tensors of an exported GGUF file as its header tells them, and whether their bytes are the weights."""
+    from ..sources.exports import gguf, read_gguf
+
+    m = model.initial(3)
+    rows = [(name, "x".join(map(str, a.shape)), bool((a == m[name].astype("<f4")).all())) for name, a in read_gguf(gguf(m)).items()]
+    return spark.createDataFrame(rows, "tensor string, shape string, equal boolean")
+
+
+@query("snk08_onnx_parity")
+def snk08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of an exported ONNX model, run by a runtime on a bounded sample, against NumPy's; no row without a runtime."""
+    import numpy as np
+
+    from ..sources.exports import onnx
+
+    x, _, _ = _sample(spark, sf_dir, 30)
+    try:
+        import onnxruntime
+    except ImportError:
+        return spark.createDataFrame([], "label int, n long, agree long")
+    m = model.initial(3)
+    run = onnxruntime.InferenceSession(onnx(m), providers=["CPUExecutionProvider"]).run
+    theirs = run(None, {"input": x.astype(np.float32)})[0] if len(x) else np.zeros((0, 3))
+    ours = model.forward(m, x) if len(x) else theirs
+    label, same = ours.argmax(1), np.abs(ours - theirs).max(axis=1, initial=0) <= 1e-4
+    return spark.createDataFrame([(int(k), int((label == k).sum()), int((same & (label == k)).sum())) for k in np.unique(label)], "label int, n long, agree long")
+
+
+@query("udf04_command_line")
+def udf04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exit codes of the command line over the golden inputs, in a folder of the driver: check, write, check, a missing
+    file (snk01 and snk02 are its outputs)."""
+    import contextlib
+    import io
+    import os
+    import tempfile
+
+    from ..cli import main
+
+    g = table(spark, sf_dir, "golden_pairs").where("input_text IS NOT NULL AND instr(replace(input_text, '\r\n', ''), '\r') = 0").select("case_id", "ext", "input_text")
+    rows = []
+    with tempfile.TemporaryDirectory() as folder, contextlib.redirect_stdout(io.StringIO()), contextlib.redirect_stderr(io.StringIO()):
+        for r in g.toLocalIterator():
+            with open(os.path.join(folder, f"{r.case_id}.{r.ext}"), "wb") as f:
+                f.write(r.input_text.encode())
+        for step, args in (("check", ["--check"]), ("write", ["--write"]), ("check again", ["--check"])):
+            rows.append((step, main(["-p", folder, *args])))
+        os.symlink(os.path.join(folder, "nothing"), os.path.join(folder, "gone.py"))
+        rows.append(("missing", main(["-p", folder, "--check"])))
+    return spark.createDataFrame(rows, "step string, exit_code int")

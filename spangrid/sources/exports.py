@@ -87,3 +87,36 @@ def gguf(model: dict[str, np.ndarray], name: str = "classifier") -> bytes:
         out += _text(k) + struct.pack("<I", array.ndim) + b"".join(struct.pack("<Q", d) for d in reversed(array.shape)) + struct.pack("<IQ", 0, len(data))
         data += array.tobytes() + b"\0" * (-array.nbytes % 32)
     return out + b"\0" * (-len(out) % 32) + data
+
+
+def read_gguf(data: bytes) -> dict[str, np.ndarray]:
+    """The float32 tensors of a GGUF file of version 3, by its header."""
+    version, tensors, keys = struct.unpack_from("<IQQ", data, 4)
+    if data[:4] != b"GGUF" or version != 3:
+        raise ValueError("no GGUF file of version 3")
+    at = 24
+
+    def text() -> str:
+        nonlocal at
+        (n,) = struct.unpack_from("<Q", data, at)
+        at += 8 + n
+        return data[at - n : at].decode()
+
+    for _ in range(keys):
+        text()
+        (kind,) = struct.unpack_from("<I", data, at)
+        at += 4
+        if kind == 8:
+            text()
+        else:
+            at += 4
+    heads = []
+    for _ in range(tensors):
+        name = text()
+        (dims,) = struct.unpack_from("<I", data, at)
+        shape = struct.unpack_from(f"<{dims}Q", data, at + 4)[::-1]
+        _, offset = struct.unpack_from("<IQ", data, at + 4 + 8 * dims)
+        at += 16 + 8 * dims
+        heads.append((name, shape, offset))
+    base = at + -at % 32
+    return {name: np.frombuffer(data, "<f4", int(np.prod(shape)), base + offset).reshape(shape) for name, shape, offset in heads}
