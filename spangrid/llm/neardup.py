@@ -71,6 +71,14 @@ def signed_classes(records: DataFrame, min_words: int, text: str = "content", ba
     return materialise(source.mapInArrow(_bands(min_words, bands, rows), "cls long, bands array<long>"))
 
 
+def _verified(pairs: DataFrame, records: DataFrame, threshold: float, text: str) -> DataFrame:
+    """(a, b, similarity) of those candidate pairs (a, b) of text classes whose run sets reach the threshold."""
+    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    texts = texts_of(records, wanted, text)
+    both = pairs.join(texts.withColumnsRenamed({"cls": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"cls": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_jaccard(threshold), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
 def similar_classes(records: DataFrame, signed: DataFrame, threshold: float, text: str = "content") -> DataFrame:
     """(a, b, similarity): pairs of text classes, a < b, whose run sets reach the threshold.
 
@@ -84,10 +92,24 @@ def similar_classes(records: DataFrame, signed: DataFrame, threshold: float, tex
         .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
         .distinct()
     )
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    texts = texts_of(records, wanted, text)
-    both = pairs.join(texts.withColumnsRenamed({"cls": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"cls": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_jaccard(threshold), "a long, b long, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    return _verified(pairs, records, threshold, text)
+
+
+def star_links(records: DataFrame, signed: DataFrame, threshold: float, text: str = "content") -> DataFrame:
+    """(a, b): enough of the pairs of similar_classes to have the same connected components, without all pairs of a band.
+
+    Every class of a band is held against the band's smallest; two that both reach the threshold with it are linked
+    through it. One that does not is held against all classes of the band, so no pair that could link is left out.
+    """
+    banded = materialise(signed.select("cls", F.explode("bands").alias("band")).distinct())
+    centres = banded.groupBy("band").agg(F.min("cls").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    spokes = banded.join(centres, "band").where("cls <> a").select("band", "a", F.col("cls").alias("b"))
+    near = materialise(_verified(materialise(spokes.select("a", "b").distinct()), records, threshold, text).select("a", "b"))
+    apart = spokes.join(near, ["a", "b"], "left_anti").select("band", F.col("b").alias("x"), "a")
+    # the centre itself has been tried
+    others = apart.join(banded, "band").where("cls <> x AND cls <> a")
+    rest = others.select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+    return near.unionByName(_verified(materialise(rest), records, threshold, text).select("a", "b")).distinct()
 
 
 def similar_pairs(records: DataFrame, key: str = "file_id", threshold: float = 0.7, min_words: int = 200, text: str = "content") -> DataFrame:
@@ -109,16 +131,17 @@ def similar_pairs(records: DataFrame, key: str = "file_id", threshold: float = 0
 
 
 def near_duplicate_groups(records: DataFrame, key: str = "file_id", threshold: float = 0.8, min_words: int = 5, text: str = "content") -> DataFrame:
-    """One row per record: its text class, its group (smallest class linked to it) and the links and copies of its text.
+    """One row per record: its text class, its group (smallest class linked to it), the records of its group and the
+    copies of its text.
 
-    Columns: key, cls, group_cls, links (other texts at or above the threshold), copies (other records with the same
-    text). A null text is a record without class, group or copies. A record delivered twice counts once.
+    Columns: key, cls, group_cls, group_records, copies (other records with the same text). A null text is a record
+    without class, group or copies, of a group of none. A record delivered twice counts once.
     """
-    links = materialise(similar_classes(records, signed_classes(records, min_words, text), threshold, text))
-    groups = connected_components(links.select("a", "b"))
-    ends = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls")))
-    degree = ends.groupBy("cls").agg(F.count("*").alias("links"))
-    own = records.select(F.col(key), F.when(F.col(text).isNotNull(), text_class(text)).alias("cls")).distinct()
-    sizes = own.where("cls is not null").groupBy("cls").agg((F.count("*") - 1).alias("copies"))
-    info = sizes.join(groups.withColumnsRenamed({"id": "cls", "component": "group_cls"}), "cls", "left").join(degree, "cls", "left")
-    return own.join(info, "cls", "left").select(key, "cls", F.coalesce("group_cls", "cls").alias("group_cls"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
+    links = star_links(records, signed_classes(records, min_words, text), threshold, text)
+    groups = connected_components(links)
+    own = materialise(records.select(F.col(key), F.when(F.col(text).isNotNull(), text_class(text)).alias("cls")).distinct())
+    sizes = own.where("cls is not null").groupBy("cls").agg(F.count("*").alias("n"))
+    info = sizes.join(groups.withColumnsRenamed({"id": "cls", "component": "group_cls"}), "cls", "left").withColumn("group_cls", F.coalesce("group_cls", "cls"))
+    whole = info.groupBy("group_cls").agg(F.sum("n").alias("group_records"))
+    info = info.join(whole, "group_cls").select("cls", "group_cls", "group_records", (F.col("n") - 1).alias("copies"))
+    return own.join(info, "cls", "left").select(key, "cls", "group_cls", F.coalesce("group_records", F.lit(0)).alias("group_records"), F.coalesce("copies", F.lit(0)).alias("copies"))

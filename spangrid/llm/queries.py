@@ -123,7 +123,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per file: text class, group, links and copies."""
+    """One row per file: text class, group and its files, copies."""
     return near_duplicate_groups(_files(spark, sf_dir), "file_id", 0.7, 200)
 
 

@@ -47,7 +47,7 @@ def test_near_duplicates_against_brute_force(spark):
     assert len(groups) == len({k for k, _ in rows})
     for a, b in want:
         assert groups[a].group_cls == groups[b].group_cls
-    assert groups[9001].cls is None and groups[9004].links == 0
+    assert groups[9001].cls is None and groups[9004].group_records == 1 and groups[9001].group_records == 0
 
 
 def test_a_hot_group_of_copies(spark):
@@ -229,3 +229,26 @@ def test_coverage_is_united_over_training_texts(spark):
     rows = [("a", 10, [(0, 4)]), ("a", 10, [(2, 6), (8, 9)]), ("a", 10, [(0, 3)]), ("b", 4, [(0, 4)]), (None, 2, [(1, 2)])]
     spans = spark.createDataFrame(rows, "k string, words int, spans array<struct<at:int,upto:int>>")
     assert {r.k: r.coverage for r in overlap.united_coverage(spans, ["k"]).collect()} == {"a": 0.7, "b": 1.0, None: 0.5}
+
+
+def test_groups_of_many_near_copies_without_all_pairs(spark):
+    """400 texts that differ from one another in a word, and a chain whose ends are far apart."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(260)]
+    rows = [(k, " ".join([*base[: k % 250], f"edit{k}", *base[k % 250 + 1 :]])) for k in range(400)]
+    chain = [f"c{k}" for k in range(300)]
+    for k in range(6):
+        rows.append((1000 + k, " ".join(chain)))
+        for at in rng.sample(range(300), 5):
+            chain[at] = f"d{k}_{at}"
+    df = spark.createDataFrame(rows, "file_id long, content string")
+    signed = neardup.signed_classes(df, 200)
+    links = neardup.star_links(df, signed, 0.7)
+    assert links.count() < 400 * 40
+    pairs = neardup.similar_classes(df, signed, 0.7)
+    from spangrid.operators.components import connected_components
+
+    assert sorted(connected_components(links).collect()) == sorted(connected_components(pairs.select("a", "b")).collect())
+    got = {r.file_id: r for r in neardup.near_duplicate_groups(df, "file_id", 0.7, 200).collect()}
+    assert len({got[k].group_cls for k in range(400)}) == 1 and got[0].group_records == 400
+    assert got[1000].group_cls != got[0].group_cls and all(r.copies == 0 for r in got.values())
