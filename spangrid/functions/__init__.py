@@ -26,3 +26,19 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def markdown_escape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\`*_\[\]<>|])", r"\\$1")
+
+
+def under(path: Column, *folders: str) -> Column:
+    """Whether a path is one of the folders or lies in one; "." holds every path."""
+    hit = F.lit(False)
+    for folder in folders:
+        hit = hit | (F.lit(True) if folder == "." else (path == folder) | path.startswith(folder.rstrip("/") + "/"))
+    return hit
+
+
+def with_extension(path: Column, *extensions: str) -> Column:
+    """Whether a path ends in one of the extensions, as they are spelt."""
+    hit = F.lit(False)
+    for extension in extensions:
+        hit = hit | path.endswith(extension)
+    return hit

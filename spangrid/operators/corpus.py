@@ -69,12 +69,14 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     """
     reps = prints.groupBy("digest").agg(F.min(F.struct("doc_id", "bytes", "sketch")).alias("r")).select("r.*")
     reps = reps.where(F.size("sketch") >= SHARED)
-    heads = reps.select("doc_id", "bytes", "sketch", F.explode(F.slice("sketch", F.lit(1), F.size("sketch") - SHARED + 1)).alias("value"))
+    heads = reps.select("doc_id", "bytes", F.explode(F.slice("sketch", F.lit(1), F.size("sketch") - SHARED + 1)).alias("value"))
     x, y = heads.alias("x"), heads.alias("y")
     like = F.least("x.bytes", "y.bytes") * 4 >= F.greatest("x.bytes", "y.bytes") * 3
-    shared = F.size(F.array_intersect("x.sketch", "y.sketch"))
-    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.doc_id") < F.col("y.doc_id")) & like).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), shared.alias("shared"))
-    return met.where(F.col("shared") >= SHARED).distinct()
+    met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.doc_id") < F.col("y.doc_id")) & like).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    # only pairs that met fetch their sketches
+    one, other = (reps.select(F.col("doc_id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    counted = met.join(one, "a").join(other, "b").select("a", "b", F.size(F.array_intersect("sketch_a", "sketch_b")).alias("shared"))
+    return counted.where(F.col("shared") >= SHARED)
 
 
 def clusters(prints: DataFrame) -> DataFrame:

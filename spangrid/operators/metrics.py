@@ -63,3 +63,18 @@ def cross_entropy(logits: Column, label: Column) -> Column:
 def gated(logits: Column, threshold: float, fallback: int) -> Column:
     """The greatest class, or the fallback (255 keeps a gap, 0 counts as none) where its probability is too low."""
     return F.when(F.array_max(softmax(logits)) < threshold, fallback).otherwise(argmax(logits))
+
+
+_STATE = ("n", "hits", "blank_hits", "predicted", "wanted")
+
+
+def state(truth: str, prediction: str) -> Column:
+    """Counters of a group as one struct, an aggregate."""
+    t, p = F.col(truth), F.col(prediction)
+    parts = (F.count("*"), F.count_if(t == p), F.count_if((t > 0) & (t == p)), F.count_if(p > 0), F.count_if(t > 0))
+    return F.struct(*(c.alias(name) for name, c in zip(_STATE, parts)))
+
+
+def merged(states: DataFrame, column: str, *by: str) -> DataFrame:
+    """States added up per group."""
+    return states.groupBy(*by).agg(*(F.sum(f"{column}.{name}").alias(name) for name in _STATE))

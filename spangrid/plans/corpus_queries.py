@@ -202,10 +202,15 @@ def cor09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("cor14_layout_corrected", "SELECT DISTINCT file_id, coalesce(sha256(content) <> sha256, false) AS corrected FROM source_files WHERE content IS NOT NULL")
+@query("cor14_layout_corrected", "WITH f AS (SELECT file_id, bool_or(coalesce(sha256(content) <> sha256, false)) AS corrected, max(boundaries) AS boundaries, max(split) AS split FROM source_files WHERE content IS NOT NULL GROUP BY file_id) SELECT file_id, corrected, CASE WHEN corrected THEN 0 ELSE coalesce(boundaries, 0) END AS allowed_boundaries, corrected AND coalesce(split = 'rejected', false) AS rejected_edit FROM f")
 def cor14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose text is not the one recorded: nothing of their layout is allowed any more, and one that was rejected
+    before is an error."""
     f = table(spark, sf_dir, "source_files").where("content IS NOT NULL")
-    return f.select("file_id", F.coalesce(F.sha2("content", 256) != F.col("sha256"), F.lit(False)).alias("corrected")).distinct()
+    changed = F.coalesce(F.sha2("content", 256) != F.col("sha256"), F.lit(False))
+    f = f.select("file_id", "boundaries", "split", changed.alias("c")).groupBy("file_id").agg(F.bool_or("c").alias("corrected"), F.max("boundaries").alias("boundaries"), F.max("split").alias("split"))
+    allowed = F.when(F.col("corrected"), 0).otherwise(F.coalesce("boundaries", F.lit(0)))
+    return f.select("file_id", "corrected", allowed.alias("allowed_boundaries"), (F.col("corrected") & F.coalesce(F.col("split") == "rejected", F.lit(False))).alias("rejected_edit"))
 
 
 @query("cor15_feedback_rows", f"WITH {BOUNDS} SELECT regexp_extract(path, '^([^/]*)/', 1) AS folder, count(*) AS n FROM bounds JOIN (SELECT doc_id, path, layout_corrected FROM docs) USING (doc_id) WHERE layout_corrected AND blank_lines <= 2 GROUP BY ALL")

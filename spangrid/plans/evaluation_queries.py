@@ -286,3 +286,75 @@ def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
     return streams.fifo(e, "user_id", ["ts", "event_id"], F.coalesce(F.col("value") > 0, F.lit(False))).select("event_id", "place", "ok", "done")
+
+
+# --- annotations of siblings: the next line of the same indentation, at most eight nonblank lines on, and whether it
+# should stand apart: where either of the two ends in an opening brace
+
+_AHEAD = 8
+_NOTES = f"""{BOUNDS}, notes AS (SELECT a.doc_id, a.line_no AS left_line, min(b.line_no) AS right_line FROM nonblank a JOIN nonblank b ON b.doc_id = a.doc_id AND b.nb_pos BETWEEN a.nb_pos + 1 AND a.nb_pos + {_AHEAD} AND b.indent = a.indent GROUP BY ALL),
+judged AS (SELECT b.blank_lines, b.doc_id, b.boundary_id, n.left_line IS NOT NULL AS noted, n.right_line = b.rl AS sibling, CASE WHEN suffix(b.lv, '{{') OR suffix(b.rv, '{{') THEN 1 ELSE 0 END AS standard FROM bounds b LEFT JOIN notes n ON n.doc_id = b.doc_id AND n.left_line = b.ll)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries with the annotation of their left line: whether there is one, and whether it names their right line."""
+    from ..operators import layout
+
+    nb = layout.with_nonblank(docs(spark, sf_dir)).select("doc_id", F.transform("nb", lambda x: F.struct(x["line_no"].alias("line_no"), x["indent"].alias("indent"))).alias("s"))
+    ahead = "transform(s, (x, i) -> named_struct('left_line', x.line_no, 'right_line', get(filter(slice(s, i + 2, 8), y -> y.indent = x.indent), 0).line_no))"
+    # one row a line; a lambda over the small array of line numbers and indents
+    notes = nb.select("doc_id", F.explode(F.expr(ahead)).alias("n")).select("doc_id", "n.*").where("right_line IS NOT NULL")
+    b = bounds(spark, sf_dir)
+    apart = F.col("lv").endswith("{") | F.col("rv").endswith("{")
+    j = b.join(notes, (b["doc_id"] == notes["doc_id"]) & (b["ll"] == notes["left_line"]), "left")
+    return j.select(b["doc_id"], "boundary_id", "blank_lines", F.col("left_line").isNotNull().alias("noted"), (F.col("right_line") == F.col("rl")).alias("sibling"), apart.cast("int").alias("standard"))
+
+
+@query("jon02_sibling_annotations", f"WITH {_NOTES} SELECT doc_id, count(*) AS n, count(*) FILTER (noted) AS annotated, count(*) FILTER (sibling) AS siblings FROM judged GROUP BY doc_id")
+def jon02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: boundaries, those whose left line has an annotation, and those whose right line is the one it names."""
+    return _judged(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("noted").alias("annotated"), F.count_if("sibling").alias("siblings"))
+
+
+@query("agg09_standard_counters", f"WITH {_NOTES} SELECT count(*) AS rows, count(*) FILTER (coalesce(sibling, false)) AS siblings, count(*) FILTER (NOT coalesce(sibling, false)) AS unclassified, count(*) FILTER (sibling AND standard <> least(blank_lines, 1)) AS changed, count(*) FILTER (sibling AND standard = 0) AS label0, count(*) FILTER (sibling AND standard = 1) AS label1 FROM judged WHERE blank_lines <= 2")
+def agg09(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that can be trained on, those that an annotation classifies, those whose label it changes, and its labels."""
+    j = _judged(spark, sf_dir).where("blank_lines <= 2")
+    s = F.coalesce("sibling", F.lit(False))
+    return j.agg(
+        F.count("*").alias("rows"), F.count_if(s).alias("siblings"), F.count_if(~s).alias("unclassified"), F.count_if(s & (F.col("standard") != F.least("blank_lines", F.lit(1)))).alias("changed"),
+        F.count_if(s & (F.col("standard") == 0)).alias("label0"), F.count_if(s & (F.col("standard") == 1)).alias("label1"),
+    )
+
+
+@query("trn05_feedback_labels", f"WITH {BOUNDS}, t AS (SELECT blank_lines, {RULE_SQL} AS teacher FROM bounds JOIN (SELECT doc_id AS d, layout_corrected FROM docs) ON d = doc_id WHERE layout_corrected AND blank_lines <= 2) SELECT CASE WHEN blank_lines > 0 AND teacher > 0 THEN teacher WHEN blank_lines > 0 THEN 1 ELSE 0 END AS label, count(*) AS n FROM t GROUP BY ALL")
+def trn05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of files whose layout was corrected: where a gap is, the teacher's count if it has one, else 1."""
+    from ..operators import layout
+
+    b = layout.boundaries(docs(spark, sf_dir).where("layout_corrected")).where("blank_lines <= 2")
+    teacher = rule_of(F.col("l.value"), F.col("r.value"), F.col("l.indent"), F.col("r.indent"))
+    t = b.select("blank_lines", teacher.alias("teacher"))
+    label = F.when((F.col("blank_lines") > 0) & (F.col("teacher") > 0), F.col("teacher")).when(F.col("blank_lines") > 0, 1).otherwise(0)
+    return t.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("evl04_seen_unseen", f"WITH {BOUNDS}, s AS (SELECT list_position({list(LANGUAGES)}, lang) > 6 AS unseen, least(blank_lines, 2) AS gap_label, {RULE_SQL} AS prediction FROM bounds JOIN (SELECT doc_id AS d, lang FROM docs) ON d = doc_id WHERE list_position({list(LANGUAGES)}, lang) > 0) SELECT unseen, {_CELLS} FROM s GROUP BY ALL")
+def evl04(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion of the rule over languages that training knows and those that it leaves out."""
+    from ..operators import layout
+
+    d = docs(spark, sf_dir).withColumn("at", F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang"))).where("at > 0")
+    b = layout.boundaries(d, "at")
+    guess = rule_of(F.col("l.value"), F.col("r.value"), F.col("l.indent"), F.col("r.indent"))
+    s = b.select((F.col("at") > 6).alias("unseen"), F.least("blank_lines", F.lit(2)).alias("gap_label"), guess.alias("prediction"))
+    return metrics.confusion(s, "gap_label", "prediction", "unseen")
+
+
+@query("flt13_path_predicates", "SELECT DISTINCT file_id, path FROM source_files WHERE (prefix(path, 'src/') OR prefix(path, 'lib/') OR path IN ('src', 'lib')) AND (suffix(path, '.py') OR suffix(path, '.ts'))")
+def flt13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files under given folders with given extensions."""
+    from ..functions import under, with_extension
+
+    f = table(spark, sf_dir, "source_files").select("file_id", "path").distinct()
+    return f.where(under(F.col("path"), "src", "lib") & with_extension(F.col("path"), ".py", ".ts"))

@@ -13,7 +13,7 @@ from ..sources.files import read_paths, read_text
 from .registry import ORACLES, query
 from .structure_queries import _sample, _vectors
 from .table_queries import LOGITS_SQL, logits
-from .text_queries import BOUNDS, DOCS, LINES, NONBLANK, bounds, docs, fea16
+from .text_queries import BOUNDS, DOCS, LINES, NONBLANK, RULE_SQL, bounds, docs, fea16, rule
 
 
 @query("win04_weighted_context", f"SELECT doc_id, boundary_id, side, bucket, round(sum(1.0 / distance), 6) AS weight FROM ({ORACLES['fea16_context_buckets']}) GROUP BY ALL")
@@ -186,7 +186,11 @@ def src02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_documents(read_text(spark, b"a();\nif (b) {\n  c();\n}\nd();\n"))
 
 
-@query("evl08_guards", f"WITH {DOCS} SELECT count(*) AS files, CAST(0 AS BIGINT) AS changed FROM docs")
+_SHOWN = "list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13))), lambda x: x <> '')"
+_GAPPED = "array_to_string(string_split({t}, chr(10)), chr(10) || repeat(chr(10), {k}))"
+
+
+@query("evl08_guards", f"WITH {DOCS}, s AS (SELECT text, {_SHOWN.format(t='text')} AS v FROM docs) SELECT count(*) AS files, count(*) FILTER ({' OR '.join(_SHOWN.format(t=_GAPPED.format(t='text', k=k)) + ' <> v' for k in range(3))}) AS changed FROM s")
 def evl08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files whose nonblank lines differ after every gap was set to 0, 1 and 2; none may."""
     d = docs(spark, sf_dir).select(guards.per_text("text", "boolean", guards.lines_differ).alias("differs"))
@@ -216,9 +220,11 @@ def udf05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nonblank(docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("rows"))
 
 
-@query("udf06_metric_state", f"WITH {BOUNDS} SELECT least(blank_lines, 2) AS truth, count(*) AS n FROM bounds GROUP BY ALL")
+@query("udf06_metric_state", f"WITH {BOUNDS}, p AS (SELECT least(blank_lines, 2) AS t, {RULE_SQL} AS p FROM bounds) SELECT count(*) AS n, count(*) FILTER (t = p) AS hits, count(*) FILTER (t > 0 AND t = p) AS blank_hits, count(*) FILTER (p > 0) AS predicted, count(*) FILTER (t > 0) AS wanted FROM p")
 def udf06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bounds(spark, sf_dir).groupBy(F.least(F.col("blank_lines").cast("long"), F.lit(2).cast("long")).alias("truth")).agg(F.count("*").alias("n"))
+    """Metrics as a state of each file that merges with others: counters in a struct, added up field by field."""
+    b = bounds(spark, sf_dir).select("doc_id", F.least("blank_lines", F.lit(2)).alias("truth"), rule().alias("prediction"))
+    return metrics.merged(b.groupBy("doc_id").agg(metrics.state("truth", "prediction").alias("state")), "state")
 
 
 @query("trn04_distillation")

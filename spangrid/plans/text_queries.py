@@ -159,7 +159,10 @@ def lay12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("case_id", (values["input_text"] == values["output_text"]).alias("preserved"))
 
 
-@query("lay13_idempotent", f"WITH {DOCS} SELECT doc_id, true AS idempotent FROM docs WHERE trim(replace(replace(replace(text, chr(10), ''), chr(13), ''), chr(9), ' ')) <> ''")
+_DENSE = "array_to_string(list_transform(list_filter(string_split({t}, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> ''), lambda x: x), chr(10))"
+
+
+@query("lay13_idempotent", f"WITH {DOCS}, o AS (SELECT doc_id, {_DENSE.format(t='text')} AS once FROM docs) SELECT doc_id, {_DENSE.format(t='once')} = once AS idempotent FROM o WHERE once <> ''")
 def lay13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dense layout of the dense layout is itself."""
     once = layout.with_nonblank(docs(spark, sf_dir)).where(F.size("nb") > 0).select("doc_id", layout.rendered("0").alias("text"))
@@ -180,7 +183,7 @@ def flt02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.col("text").rlike(r"\r(?!\n)").alias("bare_cr"))
 
 
-@query("flt01_valid_utf8", f"WITH {DOCS} SELECT count(*) AS valid, CAST(0 AS BIGINT) AS invalid FROM docs")
+@query("flt01_valid_utf8", f"WITH {DOCS} SELECT count(*) FILTER (decode(encode(text)) = text) AS valid, count(*) FILTER (decode(encode(text)) <> text) AS invalid FROM docs")
 def flt01(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.expr("is_valid_utf8(text)")
     return docs(spark, sf_dir).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("invalid"))
@@ -235,7 +238,7 @@ def lex03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.octet_length(F.regexp_replace("text", r"[^0-9A-Za-z_\x{80}-\x{10FFFF}]", "")).cast("long").alias("word_bytes"))
 
 
-@query("lex04_lossless", f"WITH {DOCS} SELECT doc_id, strlen(text) AS bytes, true AS lossless FROM docs")
+@query("lex04_lossless", f"WITH {DOCS} SELECT doc_id, strlen(text) AS bytes, array_to_string(regexp_extract_all(text, '{TOKEN_RE}', 0, 's'), '') = text AS lossless FROM docs")
 def lex04(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.array_join(lexing.tokens(F.col("text")), "")
     return docs(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("bytes"), (t == F.col("text")).alias("lossless"))

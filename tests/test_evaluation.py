@@ -177,3 +177,21 @@ def test_queues_go_on_after_failures_and_debounce_waits(spark):
 def test_patches_with_moves(spark):
     patch = "*** Move to: lost\n*** Add File: a\n+x\n*** Update File: b\n*** Move to: c\n*** Move to: d\n*** Update File: e"
     assert spark.createDataFrame([(patch,), ("",)], "p string").select(changed_paths(F.col("p")).alias("x")).collect() == [(["a", "d", "e"],), ([],)]
+
+
+# --- property checks see what breaks them
+
+
+def test_property_checks_see_breaks(spark, monkeypatch):
+    from spangrid.operators import guards, lexing, metrics, model
+
+    texts = spark.createDataFrame([("a b\n",), ("",)], "t string").select("t", F.array_join(F.slice(lexing.tokens(F.col("t")), 1, 2), "").alias("cut"))
+    assert [r.cut == r.t for r in texts.collect()] == [False, True]
+    assert spark.sql("SELECT is_valid_utf8(CAST(X'61FF' AS STRING)) AS a, is_valid_utf8(CAST(X'61' AS STRING)) AS b").first() == (False, True)
+    assert not guards.lines_differ("a();\nb();\n") and not guards.vectors_move("a();\nb();\n")
+    render = scanner.render
+    monkeypatch.setattr(scanner, "render", lambda text, found, labels: render(text, found, labels).replace("b", "c"))
+    assert guards.lines_differ("a();\nb();\n") and guards.vectors_move("a();\nb();\n")
+    z = spark.createDataFrame([([1.0, 2.0, 3.0], [3.0, 2.0, 1.0])], "a array<double>, b array<double>")
+    r = z.select(metrics.softmax(F.col("a")).alias("x"), model.softmax_batches(F.col("b")).alias("y"), model.softmax_batches(F.col("a")).alias("z")).first()
+    assert np.allclose(r.x, r.z) and not np.allclose(r.x, r.y)
