@@ -19,7 +19,8 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
@@ -38,16 +39,31 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The tiktoken encoding of a rank file, once for each worker."""
+    """The tiktoken encoding of a rank file, once for each worker; from the copy that `ship` sent along, if there is one."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
+        sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._root_directory or SparkFiles._is_running_on_worker else path
+        with open(sent if os.path.exists(sent) else path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+#: Bytes of a rank file that is sent to the workers; a larger one must lie in the same folder of each.
+SHIPPED = 64 << 20
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, path: str) -> str:
+    """Send a rank file of the driver to all workers, once a session; returns its path."""
+    mark = spark.sparkContext.applicationId, path
+    if mark not in _shipped and os.path.exists(path) and os.path.getsize(path) <= SHIPPED:
+        spark.sparkContext.addFile(path)
+        _shipped.add(mark)
+    return path
+
+
 def join_halves(enc, left: list[int], right: list[int], reach: int = REACH) -> list[int]:
     """The encoding of the concatenation of two encoded byte strings."""
     while left and right:
@@ -161,11 +177,11 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", pat
     """
     kind = documents.schema[key].dataType.simpleString()
     rows = spread(documents.select(F.col(key).alias("doc"), F.col(text).alias("text")))
-    return rows.mapInArrow(_encode(path or rank_file()), f"doc {kind}, ids array<int>").withColumnRenamed("doc", key)
+    return rows.mapInArrow(_encode(ship(documents.sparkSession, path or rank_file())), f"doc {kind}, ids array<int>").withColumnRenamed("doc", key)
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(key, n_tokens) of every row; null and empty texts have none. key may be a struct."""
     kind = documents.schema[key].dataType.simpleString()
     rows = spread(documents.select(F.col(key).alias("doc"), F.col(text).alias("text")))
-    return rows.mapInArrow(_count(path or rank_file()), f"doc {kind}, n_tokens long").withColumnRenamed("doc", key)
+    return rows.mapInArrow(_count(ship(documents.sparkSession, path or rank_file())), f"doc {kind}, n_tokens long").withColumnRenamed("doc", key)
