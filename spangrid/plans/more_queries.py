@@ -60,17 +60,19 @@ def srt03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logits(spark, sf_dir).select("file_id", "boundary_id", metrics.argmax(F.col("logits")).alias("top"))
 
 
-@query("rol03_after_at_sign", f"WITH {NONBLANK} SELECT regexp_extract(value, '^@([A-Za-z0-9_]*)', 1) AS name, count(*) AS n FROM nonblank WHERE prefix(value, '@') GROUP BY ALL")
+@query("rol03_after_at_sign", f"WITH {NONBLANK}, {roles.ROLE_SQL} SELECT head AS name, role, count(*) AS n FROM roles WHERE prefix(value, '@') GROUP BY ALL")
 def rol03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What follows a leading at sign, which decides the role of the line."""
-    return layout.nonblank(docs(spark, sf_dir)).where(F.col("value").startswith("@")).groupBy(F.regexp_extract("value", "^@([A-Za-z0-9_]*)", 1).alias("name")).agg(F.count("*").alias("n"))
+    """Roles of lines with a leading at sign, which is skipped once: the token behind it decides, white space too."""
+    v = layout.nonblank(docs(spark, sf_dir)).where(F.col("value").startswith("@"))
+    name = F.regexp_extract("value", r"^@([0-9A-Za-z_\x{80}-\x{10FFFF}]+|(?s:.)|)", 1)
+    return v.groupBy(name.alias("name"), roles.role(F.col("value")).alias("role")).agg(F.count("*").alias("n"))
 
 
-@query("rol04_equals_scan")
+@query("rol04_equals_scan", f"WITH {NONBLANK}, {roles.ROLE_SQL} SELECT role, count(*) AS n FROM roles WHERE contains(value, '=') GROUP BY role")
 def rol04(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of lines with an equals sign."""
     lines = layout.nonblank(docs(spark, sf_dir)).where(F.col("value").contains("="))
-    return lines.select(roles.role_batches(F.col("value")).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+    return lines.select(roles.role(F.col("value")).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
 _BODY = r"^(class|struct|impl|fn|function|def|namespace|interface)([^A-Za-z0-9_]|$)"

@@ -288,13 +288,13 @@ def rol02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("rol01_roles")
+@query("rol01_roles", f"WITH {NONBLANK}, {roles.ROLE_SQL} SELECT doc_id, nb_pos, role FROM roles")
 def rol01(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role of every nonblank line; rol03 to rol05 are steps of the same fold."""
-    return layout.nonblank(docs(spark, sf_dir)).select("doc_id", "nb_pos", roles.role_batches(F.col("value")).alias("role"))
+    return layout.nonblank(docs(spark, sf_dir)).select("doc_id", "nb_pos", roles.role(F.col("value")).alias("role"))
 
 
-@query("rol05_role_counts")
+@query("rol05_role_counts", f"WITH {NONBLANK}, {roles.ROLE_SQL} SELECT role, count(*) AS n FROM roles GROUP BY role")
 def rol05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rol01(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"))
 
