@@ -219,13 +219,17 @@ def cor15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(F.regexp_extract("path", "^([^/]*)/", 1).alias("folder")).agg(F.count("*").alias("n"))
 
 
-@query("cor16_materialised_samples", "WITH g AS (SELECT case_id, list_filter(list_transform(string_split(input_text, chr(10)), lambda x: rtrim(x, chr(13))), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '') AS l FROM golden_pairs) SELECT case_id, md5('begin' || chr(10) || array_to_string(list_transform(range(len(l)), lambda k: l[k + 1] || repeat(chr(10), 1 + k % 2)), '') || 'end' || chr(10)) AS digest FROM g WHERE len(l) > 0")
+@query("cor16_materialised_samples", "WITH g AS (SELECT case_id, ext, list_filter(list_transform(string_split(input_text, chr(10)), lambda x: rtrim(x, chr(13))), lambda x: trim(x, chr(32) || chr(9) || chr(13)) <> '') AS l FROM golden_pairs), n AS (SELECT ext, count(*) >= 30 AS enough FROM g WHERE len(l) > 0 GROUP BY ext) SELECT case_id, md5('begin' || chr(10) || array_to_string(list_transform(range(len(l)), lambda k: l[k + 1] || repeat(chr(10), 1 + k % 2)), '') || 'end' || chr(10)) AS digest, array_to_string(list_transform(range(len(l)), lambda k: k % 2), ',') AS gaps, CASE WHEN suffix(l[len(l)], chr(92)) THEN len(l) END AS held_line, enough FROM g JOIN n USING (ext) WHERE len(l) > 0")
 def cor16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden inputs between wrapper lines, with gaps of 0 and 1 in turn."""
+    """Golden inputs between wrapper lines, with gaps of 0 and 1 in turn, the gaps as a list, the last line if the gap
+    after it may not change (it continues), and whether its language has the thirty samples that are asked for."""
     lines = "filter(transform(split(input_text, '\\n', -1), x -> rtrim('\\r', x)), x -> trim(BOTH ' \\t\\r' FROM x) <> '')"
-    g = table(spark, sf_dir, "golden_pairs").select("case_id", F.expr(lines).alias("l")).where("size(l) > 0")
+    g = table(spark, sf_dir, "golden_pairs").select("case_id", "ext", F.expr(lines).alias("l")).where("size(l) > 0")
+    enough = g.groupBy("ext").agg((F.count("*") >= 30).alias("enough"))
     body = F.expr("array_join(transform(l, (x, k) -> concat(x, repeat('\\n', 1 + k % 2))), '')")
-    return g.select("case_id", F.md5(F.concat(F.lit("begin\n"), body, F.lit("end\n"))).alias("digest"))
+    gaps = F.expr("array_join(transform(l, (x, k) -> CAST(k % 2 AS STRING)), ',')")
+    held = F.when(F.get("l", F.size("l") - 1).endswith("\\"), F.size("l").cast("long"))
+    return g.join(enough, "ext").select("case_id", F.md5(F.concat(F.lit("begin\n"), body, F.lit("end\n"))).alias("digest"), gaps.alias("gaps"), held.alias("held_line"), "enough")
 
 
 @query("cor17_safe_paths", "SELECT path, NOT (regexp_matches(path, '^/|^$|\\\\') OR regexp_matches(path, '(^|/)\\.\\.?(/|$)') OR regexp_matches(path, '//')) AS safe FROM (SELECT DISTINCT unnest([path, '../' || path, 'a/../' || path, '/' || path, replace(path, '/', '//')]) AS path FROM source_files)")

@@ -45,14 +45,20 @@ def jon11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nb.select("doc_id", "d", F.explode(near).alias("x")).where("x.near IS NOT NULL AND d[x.near] = d[x.nb_pos]").select("doc_id", "x.*")
 
 
-@query("jon12_offsets_to_lines", f"WITH {LINES}, s AS (SELECT doc_id, line_no, CAST(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS after_, strlen(raw) + 1 AS size FROM lines), o AS (SELECT doc_id, unnest(range(0, strlen(text), 1000)) AS byte_offset FROM docs) SELECT o.doc_id, o.byte_offset, s.line_no FROM o JOIN s ON s.doc_id = o.doc_id AND o.byte_offset >= s.after_ - s.size AND o.byte_offset < s.after_")
+_MARK = "#[cfg(test)]"
+
+
+@query("jon12_offsets_to_lines", f"WITH {LINES}, s AS (SELECT doc_id, line_no, CAST(sum(strlen(raw) + 1) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS after_, strlen(raw) + 1 AS size FROM lines), o AS (SELECT doc_id, unnest(range(0, strlen(text), 1000)) AS byte_offset, CASE WHEN contains(text, '{_MARK}') THEN strlen(string_split(text, '{_MARK}')[1]) END AS region FROM docs) SELECT o.doc_id, o.byte_offset, s.line_no, coalesce(o.byte_offset >= o.region, false) AS excluded FROM o JOIN s ON s.doc_id = o.doc_id AND o.byte_offset >= s.after_ - s.size AND o.byte_offset < s.after_")
 def jon12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every thousandth byte and its line: each line names the offsets it holds, so the range join needs no join."""
+    """Every thousandth byte, its line, and whether it lies in the region that a mark of tests opens up to the end: each
+    line names the offsets it holds, so the range join needs no join."""
     starts = F.expr("aggregate(ps, named_struct('at', CAST(0 AS BIGINT), 'out', CAST(array() AS array<struct<line_no: int, a: bigint, z: bigint>>)), (s, x) -> named_struct('at', s.at + octet_length(x) + 1, 'out', concat(s.out, array(named_struct('line_no', size(s.out), 'a', s.at, 'z', s.at + octet_length(x))))), s -> s.out)")
-    lines = docs(spark, sf_dir).select("doc_id", F.octet_length("text").alias("bytes"), layout.pieces().alias("ps")).select("doc_id", "bytes", F.explode(starts).alias("l"))
+    region = F.when(F.col("text").contains(_MARK), F.octet_length(F.substring_index("text", _MARK, 1)))
+    lines = docs(spark, sf_dir).select("doc_id", F.octet_length("text").alias("bytes"), region.alias("region"), layout.pieces().alias("ps")).select("doc_id", "bytes", "region", F.explode(starts).alias("l"))
     first, last = F.ceil(F.col("l.a") / 1000), F.floor(F.col("l.z") / 1000)
-    held = lines.where(first <= last).select("doc_id", "bytes", F.col("l.line_no").alias("line_no"), F.explode(F.sequence(first, last)).alias("k"))
-    return held.where(F.col("k") * 1000 < F.col("bytes")).select("doc_id", (F.col("k") * 1000).alias("byte_offset"), "line_no")
+    held = lines.where(first <= last).select("doc_id", "bytes", "region", F.col("l.line_no").alias("line_no"), F.explode(F.sequence(first, last)).alias("k"))
+    at = F.col("k") * 1000
+    return held.where(at < F.col("bytes")).select("doc_id", at.alias("byte_offset"), "line_no", F.coalesce(at >= F.col("region"), F.lit(False)).alias("excluded"))
 
 
 @query("srt03_argmax", f"WITH {LOGITS_SQL} SELECT file_id, boundary_id, CAST(CASE WHEN z0 >= z1 AND z0 >= z2 THEN 0 WHEN z1 >= z2 THEN 1 ELSE 2 END AS INT) AS top FROM r")
