@@ -24,13 +24,14 @@ from .copies import text_class, texts_of
 from .shingles import RUN, run_hashes, shared, word_hashes
 
 #: Hashes under this share of their range are minima. Above 1 - threshold, so that the minima of all but few evaluation
-#: records outnumber the runs that a partner may lack; of those few the hashes above it are joined too.
-CUT = 0.5
+#: records outnumber the runs that a partner may lack (of those few the hashes above it are joined too), and by as many
+#: again, so that half of a record's minima must be shared and the commonest half can be left out of the join.
+CUT = 0.6
 #: Bits of a hash that are dropped before it is shuffled; a chance meeting costs an exact check and loses nothing.
 SHORTER = 16
 #: The most common minima of the evaluation records, at most so many, that are left out of the join first, and how many
 #: others a partner must share at least where some are left out.
-HOT, NEEDED = 16_384, 4
+HOT, NEEDED = 262_144, 4
 #: Minima that a task holds at once to count the common ones.
 COUNTED = 4_000_000
 #: Hashes above the cut that are sent to every worker; beyond it they are joined by a shuffle.
@@ -243,17 +244,17 @@ def candidates(train: DataFrame, held_out: DataFrame, threshold: float, min_word
     minima = materialise(records.mapInArrow(_record_minima(min_words, threshold, cut), "e long, wanted int, least int, prints array<long>, more array<long>"))
     # bounded by HOT, whatever the number of records
     common = minima.select("prints").mapInArrow(_repeated, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
-    hot = np.array([r["print"] for r in common.orderBy(F.desc("n"), "print").limit(HOT).collect()], dtype=np.int64)
+    hot = common.orderBy(F.desc("n"), "print").limit(HOT).select("print").toArrow().column(0).to_numpy()
     probes = minima.mapInArrow(_probes(hot), "e long, wanted int, least int, prints array<long>").select(F.explode("prints").alias("print"), "e", "wanted", "least")
     late = minima.where(F.size("more") > 0).select(F.explode("more").alias("print")).distinct()
-    few = [r["print"] for r in late.limit(LATE + 1).collect()]
+    few = late.limit(LATE + 1).toArrow().column(0).to_numpy()
     texts = spread(train.select(text_class().alias("t"), "content"))
 
     def sent(*how) -> DataFrame:
         return texts.mapInArrow(_train_minima(cut, *how), "t long, size int, prints array<long>").select(F.explode("prints").alias("print"), "t", "size")
 
     if len(few) <= LATE:
-        theirs = sent(np.array(sorted(few), dtype=np.uint64))
+        theirs = sent(np.sort(few).view(np.uint64))
     else:
         theirs = sent().unionByName(sent(None, True).join(late, "print", "left_semi"))
     # a training text with fewer runs than a partner shares is none
