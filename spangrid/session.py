@@ -84,6 +84,9 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark)
     df.write.parquet(path)
+    # the JVM deletes it too, should the session be stopped before the program ends
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 
