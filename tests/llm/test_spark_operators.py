@@ -178,6 +178,28 @@ def test_recurring_files(spark):
     assert all(p[k] for k in range(6)) and not p[50]
 
 
+def test_recurrence_tells_copies_of_tool_written_files(spark, tmp_path):
+    def body(word):
+        rng = random.Random(word)
+        expr = lambda d: f"{word}{rng.randint(0, 99)}" if d == 0 or rng.random() < 0.2 else rng.choice(["{} + {}", "f({}, {})", "({}) * {}", "g({})[{}]"]).format(expr(d - 1), expr(d - 1))
+        return "".join(f"let {word}{k} = {expr(3)};\n" for k in range(60))
+
+    note = "// Code generated by stubs. DO NOT EDIT.\n"
+    rows = [(k, f"owner{k}/repo", "a.ts", note + body("made")) for k in range(6)]
+    rows += [(10, "owner10/repo", "src/own.ts", "\n" + body("made")), (11, "owner10/fork", "src/own.ts", body("made") + "tail();\n"), (12, None, "b.ts", body("made"))]
+    # hand-written and widely copied, kept in a tool's folder by some; written by a tool for one owner only; vendored, copied without a note
+    rows += [(20 + k, f"owner{k}/repo", "gen/b.ts" if k < 5 else "src/b.ts", body("hand")) for k in range(9)]
+    rows += [(30 + k, f"owner5/repo{k}", "a.ts", note + body("once")) for k in range(6)] + [(36, "owner6/repo", "a.ts", body("once"))]
+    rows += [(40 + k, f"owner{k}/repo", "vendor/c.ts", body("lib")) for k in range(6)] + [(46, "owner7/repo", "src/c.ts", body("lib"))]
+    df = spark.createDataFrame(rows, "file_id long, repository string, path string, content string")
+    want = {*range(6), 10, 11, 12, *range(20, 25), *range(30, 36), *range(40, 46)}
+    df.write.parquet(f"{tmp_path}/source_files.parquet")
+    found = [r.file_id for r in QUERIES["p2_found"](spark, str(tmp_path)).collect()]
+    assert sorted(found) == sorted(want)
+    p = {r.file_id: (r.signal, r.recurring) for r in provenance.provenance(df.withColumns(clashing())).collect()}
+    assert {k for k, (signal, _) in p.items() if signal} == want and p[10] == ("generated", True) and p[25] == (None, True) and p[36] == (None, False)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_every_query_runs(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)
