@@ -512,3 +512,68 @@ def test_repairs_cover_all_failing_parts_at_any_length():
     marked = syntax.judge("rs", "fn a() {\n    vec![\n<<<<<<< ours\n1\n=======\n2\n>>>>>>> theirs\n]\n    let x 1;\n}\n")
     assert marked.cause == "conflict"
     assert syntax.judge("js", "def f(x):\n    return x\n").cause == "mismatch"
+
+
+def _sentences(g, longest):
+    """All strings of up to that many terminals, by symbol."""
+    good: dict[str, set[str]] = {name: set() for name in g.rules}
+    changed = True
+    while changed:
+        changed = False
+        for name, bodies in g.rules.items():
+            for body in bodies:
+                found = {""}
+                for x in body:
+                    found = {a + b for a in found for b in (good[x] if x in good else {x}) if len(a + b) <= longest}
+                if not found <= good[name]:
+                    good[name] |= found
+                    changed = True
+    return good
+
+
+def test_search_and_table_find_the_least_repair():
+    rng = random.Random(7)
+    for text in ("S = E\nE = E + E\nE = T\nT = a\nT = ( E )\nT = ( )\n", "S = A B\nA = a A\nA = c\nB = b B a\nB = d\nS = S ; S\n", "S = x~ T y~ T\nT = a T b\nT = c\nT = S c S\n"):
+        g = chart.Grammar(text)
+        good = _sentences(g, 9)["S"]
+        signs = sorted({x for bodies in g.rules.values() for b in bodies for x in b if x not in g.rules}) + ["?"]
+        for _ in range(40):
+            s = "".join(rng.choice(signs) for _ in range(rng.randint(0, 6)))
+            want = min(_edits(s, t) for t in good)
+            for cost, places in (g.repair(s, lambda c: frozenset({c}), ["S"]), chart.Table(g, ["S"]).repair([frozenset({c}) for c in s])):
+                assert cost == want and 0 < len(places) <= cost if want else (cost, places) == (0, []), (text, s)
+
+
+def _edits(s, t):
+    row = list(range(len(t) + 1))
+    for x in s:
+        now = [row[0] + 1]
+        for k, y in enumerate(t):
+            now.append(min(now[-1] + 1, row[k + 1] + 1, row[k] + (x != y)))
+        row = now
+    return row[-1]
+
+
+def test_costs_have_no_bound(monkeypatch):
+    # many parts, many edits in a part, a long statement, many lines: each of the faults counts
+    assert syntax.judge("js", "const a = => 1;\ng();\n" * 20).cost == 20
+    wrong = " + ".join(["v = => 1"] * 9)
+    assert syntax.judge("js", f"f({wrong});\n").cost >= 9
+    sum_ = " + ".join(f"v{k}" for k in range(60))
+    long = f"const a = {sum_} + => {sum_};\n"
+    assert syntax.judge("js", long).cost == 1
+    by_search = [syntax.judge("js", x).cost for x in (long, "var => = 1 1 1;\n")]
+    monkeypatch.setattr(chart, "QUICK", 1)
+    monkeypatch.setattr(syntax, "_languages", {})
+    assert [syntax.judge("js", x).cost for x in (long, "var => = 1 1 1;\n")] == by_search
+    assert any(b.table for b in syntax.language("js").grammar.bounds.values())
+    assert syntax.judge("py", "x = = 1\ny = 2\n" * 12).cost == 12
+    assert syntax.judge("py", "if x = = 1:\n    y = 2\nelse:\n    z = 3\nw = = 4\n").cost == 2
+    assert syntax.judge("rb", "x = = 1\ny = 2\n" * 12).cost == 12
+
+
+def test_indents_of_any_width():
+    wide = " " * 20_000
+    assert syntax.judge("py", f"if x:\n{wide}a\n{wide}b\n").valid
+    assert not syntax.judge("py", f"if x:\n{wide}a\n{wide} b\n").valid
+    assert syntax.judge("py", f"if x:\n{wide}if y:\n{wide} b\n{wide}c\n").valid
