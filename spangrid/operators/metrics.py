@@ -17,6 +17,11 @@ def confusion(rows: DataFrame, truth: str, prediction: str, *by: str) -> DataFra
     return rows.groupBy(*by).agg(*(F.count_if((F.col(truth) == t) & (F.col(prediction) == p)).alias(f"c{t}{p}") for t in CLASSES for p in CLASSES))
 
 
+def counted(cells: DataFrame, truth: str, prediction: str, n: str, *by: str) -> DataFrame:
+    """confusion() of rows that stand for n boundaries each."""
+    return cells.groupBy(*by).agg(*(F.sum(F.when((F.col(truth) == t) & (F.col(prediction) == p), F.col(n)).otherwise(0)).alias(f"c{t}{p}") for t in CLASSES for p in CLASSES))
+
+
 def _sum(*names: str) -> Column:
     return reduce(lambda a, b: a + b, map(F.col, names))
 

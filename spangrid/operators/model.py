@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
 
+from . import features, scanner
+
 INPUTS, HIDDEN, CLASSES = 192, 64, 3
 
 
@@ -133,17 +138,24 @@ def padded_scorer(model: dict[str, np.ndarray], batch: int):
     return score
 
 
-def choice(models: dict[int, dict[str, np.ndarray]]):
-    """A vectorised function of a number and a feature column: the label that the classifier of that number gives, null
-    where there is none. The weights travel with the function."""
-
-    @pandas_udf("int")
-    def label(number: pd.Series, features: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(number), dtype="Int32")
-        for k in number.dropna().unique():
-            if int(k) in models:
-                at = np.flatnonzero((number == k).to_numpy())
-                out.iloc[at] = forward(models[int(k)], np.stack(features.iloc[at].to_numpy()).astype(np.float64)).argmax(axis=1)
-        return out
-
-    return label
+def choice(models: dict[int, dict[str, np.ndarray]], documents: DataFrame, number: str) -> DataFrame:
+    """number, gap_label, prediction, n: how many boundaries of documents of a number have each label of at most two
+    blank lines and get each label from the classifier of that number; null where there is none. The weights travel with
+    the function, the vectors stay in the task that reads the text."""
+    names = [number, "gap_label", "prediction", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells: dict[int, np.ndarray] = {}
+            for k, text in zip(batch.column(number).to_pylist(), batch.column("text")):
+                gaps, x = features.gaps_and_vectors(scanner.as_bytes(text.as_py()), features.ALL if k in models else ())
+                near = gaps <= 2
+                if not near.any():
+                    continue
+                guess = forward(models[k], x[near].astype(np.float64)).argmax(axis=1) if k in models else np.full(near.sum(), CLASSES)
+                cells[k] = cells.get(k, 0) + np.bincount(gaps[near] * (CLASSES + 1) + guess, minlength=CLASSES * (CLASSES + 1))
+            rows = [(k, *divmod(at, CLASSES + 1), int(c[at])) for k, c in cells.items() for at in np.flatnonzero(c).tolist()]
+            columns = [[r[0] for r in rows], [r[1] for r in rows], [r[2] if r[2] < CLASSES else None for r in rows], [r[3] for r in rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names)
+
+    return documents.select(number, "text").where("text IS NOT NULL").mapInArrow(run, f"{number} int, gap_label int, prediction int, n long")

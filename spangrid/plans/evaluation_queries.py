@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -211,16 +213,59 @@ def evl02(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("evl06_transfer")
 def evl06(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave one language out: a classifier trained on a bounded sample of the others, and its confusion on all
-    boundaries of the language it has not seen. One pass scores all languages, each by its own classifier."""
-    lang = docs(spark, sf_dir).select("doc_id", (F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1).cast("int").alias("language_id")).where("language_id >= 0")
-    v = _vectors(spark, sf_dir).where("blank_lines <= 2").join(lang, "doc_id")
-    w = Window.partitionBy("language_id", "blank_lines").orderBy(F.xxhash64("doc_id", "boundary_id"))
-    sample = v.withColumn("rn", F.row_number().over(w)).where("rn <= 60").select("input", "blank_lines", "language_id").collect()
-    x = np.array([r.input for r in sample], dtype=np.float64).reshape(len(sample), features.WIDTH)
-    y, g = np.array([r.blank_lines for r in sample], dtype=int), np.array([r.language_id for r in sample], dtype=int)
-    fitted = {int(k): model.train(x[g != k], y[g != k], g[g != k], epochs=3)[0] for k in np.unique(g) if (g != k).any()}
-    scored = v.select("language_id", F.col("blank_lines").alias("gap_label"), model.choice(fitted)("language_id", "input").alias("prediction"))
-    return metrics.confusion(scored.withColumnRenamed("language_id", "held_out"), "gap_label", "prediction", "held_out")
+    boundaries of the language it has not seen. The scanner's labels give the sample, whose files alone get vectors for
+    training; one pass scores all languages, each by its own classifier, and hands on counts."""
+    number = (F.array_position(F.array(*map(F.lit, LANGUAGES)), F.col("lang")) - 1).cast("int")
+    d = docs(spark, sf_dir).select("doc_id", "text", number.alias("held_out")).where("held_out >= 0")
+    fitted = leave_one_out(*transfer_sample(d))
+    return metrics.counted(model.choice(fitted, d, "held_out"), "gap_label", "prediction", "n", "held_out")
+
+
+#: Files of a language that are scanned first for its sample: the ones with the smallest possible hashes of boundaries.
+LIKELY = 1000
+
+
+def transfer_sample(documents: DataFrame, per_label: int = 60, likely: int = LIKELY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors, labels and languages of up to per_label boundaries of each language and label, by hash and in that order.
+
+    documents has doc_id, text and held_out, the number of its language. The order is part of the training. A file's
+    boundaries are fewer than its lines, so the smallest hash that any of them can have is known without the scanner.
+    Scanned are all files with two blank lines in a row, and those whose smallest hash is below a language's limit;
+    where that leaves less than per_label boundaries of a label below the limit, all files of the language.
+    """
+    spark, d = documents.sparkSession, documents.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    ids = F.sequence(F.lit(0), F.length("text") - F.length(F.replace("text", F.lit("\n"))))
+    least = F.array_min(F.transform(ids, lambda k: F.xxhash64("doc_id", k.cast("int"))))
+    ranked = d.select("held_out", least.alias("least")).withColumn("rn", F.row_number().over(Window.partitionBy("held_out").orderBy("least")))
+    limits = {r.held_out: r.least for r in ranked.where(F.col("rn") == likely + 1).collect()}
+    below = lambda h: F.coalesce(h < F.get(F.lit([limits.get(k) for k in range(len(LANGUAGES))]).cast("array<long>"), F.col("held_out")), F.lit(True))
+    hashed = F.xxhash64("doc_id", "boundary_id")
+    order = Window.partitionBy("held_out", "blank_lines").orderBy("hash", "doc_id", "boundary_id")
+
+    def first(files: DataFrame, which: Column) -> list:
+        near = features.boundary_labels(files, "held_out").withColumn("hash", hashed).where("blank_lines <= 2").where(which)
+        return near.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_label).collect()
+
+    picked = first(d.where(F.col("text").rlike("\\n[ \\t\\r]*+\\n[ \\t\\r]*+\\n") | below(least)), (F.col("blank_lines") == 2) | below(F.col("hash")))
+    full = Counter((r.held_out, r.blank_lines) for r in picked)
+    short = [k for k in limits if min(full[k, 0], full[k, 1]) < per_label]
+    if short:
+        picked = [r for r in picked if r.held_out not in short] + first(d.where(F.col("held_out").isin(short)), F.lit(True))
+    if not picked:
+        return np.zeros((0, features.WIDTH)), np.zeros(0, dtype=int), np.zeros(0, dtype=int)
+    files = spark.createDataFrame([(k,) for k in sorted({r.doc_id for r in picked})], "doc_id long")
+    places: dict[int, list[int]] = {}
+    for r in picked:
+        places.setdefault(r.doc_id, []).append(r.boundary_id)
+    v = features.picked_vectors(d.join(F.broadcast(files), "doc_id", "left_semi"), places)
+    found = {(r.doc_id, r.boundary_id): r.input for r in v.collect()}
+    picked.sort(key=lambda r: (r.held_out, r.blank_lines, r.rn))
+    return np.array([found[r.doc_id, r.boundary_id] for r in picked], dtype=np.float64), np.array([r.blank_lines for r in picked], dtype=int), np.array([r.held_out for r in picked], dtype=int)
+
+
+def leave_one_out(x: np.ndarray, y: np.ndarray, g: np.ndarray) -> dict[int, dict[str, np.ndarray]]:
+    """For each language a classifier trained on the others; none where there are no others."""
+    return {int(k): model.train(x[g != k], y[g != k], g[g != k], epochs=3)[0] for k in np.unique(g) if (g != k).any()}
 
 
 # --- structure by delimiters
